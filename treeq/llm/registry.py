@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeq.llm import bpe, media, secrets, simhash
+from treeq.llm import bpe, lines, media, secrets, simhash
 
-MODULES = (secrets, media, bpe, simhash)
+MODULES = (secrets, media, bpe, lines, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
