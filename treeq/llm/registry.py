@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeq.llm import bpe, lines, media, packing, secrets, simhash
+from treeq.llm import bpe, lines, media, packing, secrets, simhash, toxicity
 
-MODULES = (secrets, media, bpe, packing, lines, simhash)
+MODULES = (secrets, media, bpe, toxicity, packing, lines, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
