@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store holds runs in the shared folder: tables (h, n_docs, last_id), sorted by h within hash buckets, one row for each line key. A batch
-of documents is reduced to one row for each key, merge-anti-joined with the runs, which tells new keys from known ones, and added as
-a run of level 0. As soon as a level has FANOUT runs they are merged into one run of the next level, so that each key is rewritten
-once a level and a lookup reads few runs.
+A store holds runs in the shared folder: tables (h, n_docs, last_id, fresh), sorted by h within hash buckets, one row for each line
+key. A batch of documents is reduced to one row for each key and merge-anti-joined with the runs: keys that no run has are fresh, and
+exactly one run has each key as fresh. Its own run has the fresh keys and the counts for known ones, at level 0. As soon as a level has
+FANOUT runs they are merged into one run of the next level, so that each key is rewritten once a level and a lookup reads few runs.
 
 Keys are 128-bit MD5 of the normalised line. Only DataFrame functions are used. Null and empty texts have one empty line. Ids
 may repeat: rows of one id count as one document, and lines of every row are judged by themselves. Null ids count as one
@@ -20,7 +20,7 @@ from treeq.llm.base import new_path, remove, shared_dir, stored, table, text_or_
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_CHARS, LEAST_DOCS, FANOUT, BATCHES = 40, 5, 4, 6
-RUN = "h binary, n_docs long, last_id long"
+RUN = "h binary, n_docs long, last_id long, fresh boolean"
 
 
 def line_key(line: Column) -> Column:
@@ -45,21 +45,25 @@ class LineStore:
         return [p for level in self.levels for p in level]
 
     def keys(self) -> DataFrame:
-        """(h, n_docs, last_id), one row for each key and run."""
+        """RUN, one row for each key and run."""
         read = self.spark.read.schema(RUN)
         return read.parquet(*runs) if (runs := self.runs()) else self.spark.createDataFrame([], RUN)
 
     def merged(self) -> DataFrame:
-        """(h, n_docs, last_id), one row for each key."""
+        """RUN, one row for each key."""
         return _merge(self.keys())
 
     def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of batch (h, ...) whose key no run has: one merge anti-join with all runs."""
-        return batch.join(self.keys().select("h").hint("merge"), "h", "left_anti") if self.runs() else batch
+        """The rows of batch (h, ...) whose key no run has: one merge anti-join with the fresh keys of all runs."""
+        return batch.join(self.keys().where("fresh").select("h").hint("merge"), "h", "left_anti") if self.runs() else batch
 
     def add(self, batch: DataFrame) -> None:
         """batch (h, n_docs, last_id) with one row for each key becomes a run; full levels are compacted."""
-        self._write(batch, 0)
+        fresh = self.unseen(batch).withColumn("fresh", F.lit(True))
+        if self.runs():
+            known = batch.join(self.keys().where("fresh").select("h").hint("merge"), "h", "left_semi").withColumn("fresh", F.lit(False))
+            fresh = fresh.unionByName(known)
+        self._write(fresh, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
@@ -72,12 +76,12 @@ class LineStore:
         while len(self.levels) <= level:
             self.levels.append([])
         path = new_path(self.spark, f"run{level}")
-        rows.select("h", "n_docs", "last_id").repartition("h").sortWithinPartitions("h").write.parquet(path)
+        rows.select("h", "n_docs", "last_id", "fresh").repartition("h").sortWithinPartitions("h").write.parquet(path)
         self.levels[level].append(path)
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+    return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.bool_or("fresh").alias("fresh"))
 
 
 def with_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,8 +110,7 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs:
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for k in range(batches):
         of_doc = lines.where(dealt == k).select("h", "doc_id").distinct()
-        batch = of_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
-        store.add(batch)
+        store.add(stored(of_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id")), "batch"))
     common = stored(store.merged().where(F.col("n_docs") >= least_docs).select("h", "last_id"), "common")
     out = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("out"))
     out = out.select(F.col("doc_id").alias("out_id"), F.col("text_hash").alias("out_hash"), "out")
