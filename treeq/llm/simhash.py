@@ -36,6 +36,7 @@ SEED, BITS, CODE, CHECK, RADIUS, THRESHOLD = 42, 64, 23, 11, 3, 2
 #: The generator polynomial of the binary Golay code.
 GENERATOR = 0b110001110101
 BLOCK, SMALL, PAIRS = 2048, 64, 1 << 20
+BANDS, SAMPLE = 14, 3
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -231,6 +232,67 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, fp, bands array<long>): node is XXH64 of the text; each band is the SimHash of the SAMPLE different shingles that are least under its own order."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def bands(hashes: np.ndarray) -> list[int]:
+        h = np.unique(hashes)
+        out = []
+        for m in odd:
+            mixed = h * m
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= m
+            least = h[np.argpartition(mixed, SAMPLE - 1)[:SAMPLE]] if len(h) > SAMPLE else h
+            out.append(_signed(fingerprint(least)))
+        return out
+
+    def run(batch: pa.RecordBatch) -> dict:
+        hashes = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
+        return {"doc_id": batch.column(0), "node": batch.column(1), "fp": pa.array([_signed(fingerprint(h)) for h in hashes], pa.int64()), "bands": pa.array(map(bands, hashes), pa.list_(pa.int64()))}
+
+    text = text_or_empty(text_col)
+    return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, bands array<long>")
+
+
+def jaccard(a: str, b: str, words: int) -> float:
+    x, y = (set(shingle_hashes(t, words).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row: components of links whose texts have at least this share of their different shingles in common.
+
+    Texts that alike differ in far more than THRESHOLD bits of their SimHash (3 to 14 were measured), so candidates are links of whole
+    fingerprints and, besides, texts of which one band is equal: with BANDS bands of SAMPLE shingles a pair of 0.8 is missed once in
+    10,000 times. In a bucket all go with its least member, so copies make no pairs among each other; each candidate is checked on whole
+    texts. Rows of one text are one node. Only texts that are in candidates are shuffled.
+    """
+    made = stored(sketches(docs, words, id_col, text_col), "sketches")
+    nodes = stored(made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    banded = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
+    buckets = stored(banded.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+    same = stored(banded, "bands").join(buckets, ["band", "value"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    firsts = stored(prints, "prints")
+    linked = links(firsts.select("fp")).join(firsts.toDF("a", "na"), "a").join(firsts.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    pairs = stored(same.unionByName(linked).distinct(), "pairs")
+    text = text_or_empty(text_col)
+    mine = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    texts = stored(mine.join(wanted, "node").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    met = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        keep = [jaccard(x, y, words) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return {k: batch.column(i).filter(pa.array(keep, pa.bool_())) for i, k in enumerate("ab")}
+
+    roots = components(by_batch(met.select("a", "b", "ta", "tb"), run, "a long, b long")).withColumnRenamed("node", "n")
+    rooted = made.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
