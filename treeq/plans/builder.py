@@ -29,6 +29,8 @@ from treeq.schema import ZEROS, Compute, Field, Model, Registry, Relation
 
 MAX_DEPTH, MAX_PAGED_DEPTH = 10, 4
 TEXT_ROWS, TEXT_DEPTH = 1000, 3
+#: Pages up to this size look up their children instead of grouping all.
+FEW = 5000
 PROFILES = ("standard", "text2query")
 
 
@@ -184,7 +186,8 @@ class Plan:
         if paged and near is None:
             by = by or [F.asc("_id")]
             df = self._page(df.orderBy(*by), skip, limit)
-        out = self.shape(df, model, node)
+        bound = near.limit if near is not None else limit
+        out = self.shape(df, model, node, few=bound is not None and bound <= FEW)
         return self._final(out, model, node, by)
 
     @staticmethod
@@ -252,14 +255,21 @@ class Plan:
 
     # shapes
 
-    def shape(self, df: DataFrame, model: Model, node: Node) -> DataFrame:
-        """df with the relations and computed columns of node."""
+    def shape(self, df: DataFrame, model: Model, node: Node, *, few: bool = False) -> DataFrame:
+        """df with the relations and computed columns of node. few: df is a page of FEW rows at most, or what hangs on one."""
+        page = df
         for r in node.relations:
-            df = self._nest(df, model, r)
+            df = self._nest(df, model, r, page if few else None)
         wanted = [c for c in map(model.computes.get, node.fields) if c is not None and self.policy.readable(model, c.name, c.read, self.ctx)]
         over = [c for c in wanted if c.agg and c.agg[1].partition(".")[0] in model.relations]
         if over:
-            df = C.over_relation(df, model, over, lambda name: self.rows(self.relation(model, name)[1]))
+
+            def child_of(name: str) -> DataFrame:
+                r, child = self.relation(model, name)
+                rows = self.rows(child)
+                return self._of_page(rows, r, page) if few else rows
+
+            df = C.over_relation(df, model, over, child_of)
         for c in wanted:
             if c.agg and c not in over:
                 df = df.withColumn(c.name, C.inline(df, c))
@@ -269,10 +279,19 @@ class Plan:
             df = df.withColumn(c.name, self.callbacks.fn(df, c)) if c.fn else self.callbacks.batch(df, c)
         return df
 
-    def _nest(self, df: DataFrame, model: Model, node: Node) -> DataFrame:
+    @staticmethod
+    def _of_page(rows: DataFrame, r: Relation, page: DataFrame) -> DataFrame:
+        """Only the children of a page's parents: else all children would be grouped for a few parents."""
+        keys = page.select((F.explode(f"`{r.local}`") if R.is_array(page, r.local) else F.col(f"`{r.local}`")).alias("__parent"))
+        return rows.join(keys, F.col(f"`{r.foreign}`") == F.col("__parent"), "left_semi")
+
+    def _nest(self, df: DataFrame, model: Model, node: Node, page: DataFrame | None = None) -> DataFrame:
+        """page: the parents, if they are few."""
         r, child = self.relation(model, node.name)
         rows = self.where(self.rows(child), child, node.value("$condition", self.params))
-        rows = self.shape(rows, child, node)
+        if page is not None:
+            rows = self._of_page(rows, r, page)
+        rows = self.shape(rows, child, node, few=page is not None)
         order = self._order(node.value("$sort", self.params))
         by = None
         if order:
