@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of a batch between the JVM and Python, where the session has Spark's own default: batches of whole texts stay a few MB.
+BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed on them (local mode, shared code folder)."""
+    """Let Python workers import this package where it isn't installed on them (local mode, shared code folder), in small batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

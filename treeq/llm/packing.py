@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -30,7 +31,7 @@ from tokenizers import Tokenizer
 
 from treeq.llm.base import cut, stored, table, text_or_empty
 
-LENGTH, WINDOWS, GROUP, CACHE, END_ID = 4096, 8, 32, 1_000_000, 2
+LENGTH, WINDOWS, GROUP, CACHE, STEMS, END_ID = 4096, 8, 32, 400_000, 200_000, 2
 #: ASCII punctuation at a word's end, after a letter or digit that normalising leaves one: the pattern of the vocabulary always cuts there.
 TAIL = re.compile(r"(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])[!-/:-@\[-`{-~]+\Z")
 PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -60,23 +61,26 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
+        self.stems: dict[str, bytes] = {}  # ids as uint32
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 1
         self.starts, self.lens = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
         self.flat[0], self.lens[0], self.n = self.end_id, 1, 1  # entry 0 is the end id
 
-    def _stem(self, s: str) -> list[int]:
+    def _stem(self, s: str) -> bytes:
         if (got := self.stems.get(s)) is None:
             if s.isalpha() and max(s) < "̀":
-                got = [t.id for t in self.model.tokenize(s.encode().decode("latin1").translate(self.shown))]
+                ids = [t.id for t in self.model.tokenize(s.encode().decode("latin1").translate(self.shown))]
             else:
-                got = self.whole.encode(s, add_special_tokens=False).ids
-            self.stems[s] = got
+                ids = self.whole.encode(s, add_special_tokens=False).ids
+            if len(self.stems) >= STEMS:
+                self.stems.clear()
+            got = self.stems[s] = array("I", ids).tobytes()
         return got
 
-    def word(self, w: str) -> list[int]:
+    def word(self, w: str) -> bytes:
+        """The ids of a word, as uint32."""
         if not w:
-            return []
+            return b""
         if w.isascii() or max(w) < "̀":  # neither composes with what follows when it is lower-cased first
             w = w.lower()
         tail = TAIL.search(w)
@@ -95,7 +99,7 @@ class WordTokenizer:
         get = self.index.get
         known = np.fromiter((get(w, -1) for w in entries), np.int64, len(entries))
         for i in np.flatnonzero(known < 0):
-            ids = self.word(entries[i])
+            ids = np.frombuffer(self.word(entries[i]), np.uint32)
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
             self.flat[self.used : self.used + len(ids)] = ids

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from treeq.llm.base import by_batch, table, text_or_empty
 
-SAMPLE_DOCS, SAMPLE_WORDS, CACHE = 4000, 1000, 1_000_000
+SAMPLE_DOCS, SAMPLE_WORDS, CACHE = 3000, 1000, 300_000
 CARRIER, PIECE, LIFT, ORDINARY_BYTES, TOXIC_BYTES, WINDOWS = " the of and to ", 5, 3.0, 64 << 10, 16 << 10, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, CLIP = 24, 40
@@ -103,8 +103,9 @@ def _strided(items: list, most: int) -> list:
 
 def _mixed(docs: list[set[str]]) -> list[str]:
     """The words of all documents in a fixed order without alphabet, as the trainer keeps its last samples for a test."""
-    keyed = sorted((zlib.crc32(f"{i} {w}".encode()), w) for i, ws in enumerate(docs) for w in ws)
-    return [w for _, w in keyed]
+    words = [w for ws in docs for w in sorted(ws)]
+    keys = np.fromiter((zlib.crc32(f"{i} {w}".encode()) for i, ws in enumerate(docs) for w in sorted(ws)), np.uint32, len(words))
+    return [words[k] for k in np.argsort(keys, kind="stable")]
 
 
 def dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
@@ -204,7 +205,7 @@ class Scorer:
         return float(1 / (1 + math.exp(-min(max(float(x @ self.model.weights), -30), 30))))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(prior: float, ordinary: bytes, toxic: bytes, odds: bytes, weights: bytes) -> Scorer:
     return Scorer(Model(prior, ordinary, toxic, np.frombuffer(odds, np.float32), np.frombuffer(weights)))
 
