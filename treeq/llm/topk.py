@@ -7,7 +7,7 @@ block, one shard and a slice of their product. A query set that is a share of th
 what an exact search asks for; the shuffle is the shards once and the blocks once for each salt.
 
 Components become floor(256 * x), x as double. Products are exact: in doubles where no sum can reach 2^53, in Python's integers
-beyond; a score outside a long is an error. Vectors that are null or hold null or non-finite components take no part; vectors of
+beyond; a returned score outside a long is an error. Vectors that are null or hold null or non-finite components take no part; vectors of
 different lengths are never compared. A row is told from others by its place in its shard, so rows with one id or one vector are
 candidates of each other; ties go to the smaller id. Null ids take part as candidates after all others, and never as queries. An
 input without rows or queries gives none.
@@ -75,6 +75,8 @@ def shards(df: DataFrame, id_col: str, vector_col: str, size: int = SHARD) -> Da
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores of a row, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > 4 * k:
         low = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= low)
@@ -84,15 +86,13 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products [len(q), len(c)] of whole doubles, as int64."""
+    """Exact integer products [len(q), len(c)] of whole doubles, as int64, or as Python's integers where some don't fit."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)), np.int64)
     if float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53:
         return (q @ c.T).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in c], object).T
-    if any(not -(2**63) <= x < 2**63 for x in whole.flat):
-        raise OverflowError("a score doesn't fit a long")
-    return whole.astype(np.int64)
+    return whole.astype(np.int64) if all(-(2**63) <= x < 2**63 for x in whole.flat) else whole
 
 
 LISTS = "q_shard long, q_place int, query_id long, lot long, ids array<long>, scores array<long>"
@@ -103,10 +103,8 @@ def _tiles(k: int):  # noqa: ANN202
         for batch in batches:
             for r in batch.to_pylist():
                 dim = r["dim"]
-                qi, qp, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_places"], "<i4"), np.frombuffer(r["q_vectors"], "<f8").reshape(-1, dim)
-                ci, c = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)
-                if not dim:
-                    q, c = np.zeros((len(qi), 0)), np.zeros((len(ci), 0))
+                qi, qp, ci = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_places"], "<i4"), np.frombuffer(r["ids"], "<i8")
+                q, c = np.frombuffer(r["q_vectors"], "<f8").reshape(len(qi), dim), np.frombuffer(r["vectors"], "<f8").reshape(len(ci), dim)
                 out = []
                 for at in range(0, len(q), 128):
                     for j, s in enumerate(products(q[at : at + 128], c), at):
@@ -114,6 +112,8 @@ def _tiles(k: int):  # noqa: ANN202
                         if own:
                             ids, s = np.delete(ci, qp[j]), np.delete(s, qp[j])
                         top = best(s, ids, k)
+                        if s.dtype == object and any(not -(2**63) <= x < 2**63 for x in s[top]):
+                            raise OverflowError("a score doesn't fit a long")
                         out.append((r["q_shard"], int(qp[j]), int(qi[j]), r["lot"], ids[top], s[top]))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in LISTS.split(", ")])
