@@ -14,7 +14,8 @@ from treeq.llm import base, lines, packing, secrets, simhash, toxicity
 
 
 def _with_text(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    """n_chars is made anew; a null text has 0."""
+    return docs.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
