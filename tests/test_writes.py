@@ -7,7 +7,7 @@ import pytest
 from treeq.engine import Engine
 from treeq.errors import Conflict, EngineError, PermissionDenied, ShapeError
 from treeq.operators.writes import Writer
-from treeq.policy import Policy
+from treeq.policy import Context, Policy
 from treeq.sources.registry import Source
 
 POST = {"name": "Post", "collection": "posts", "idPrefix": "P", "fields": {"title": {"type": "string", "required": True}, "status": {"type": "string", "default": "draft"}, "views": "int", "code": "string", "meta": {"type": "object", "fields": {"x": "int", "y": "string"}}}, "indexes": [{"fields": ["code"], "unique": True}], "relations": {"notes": {"model": "Note", "type": "many", "foreignField": "postId"}, "cover": {"model": "Cover", "type": "one", "foreignField": "postId"}}}
@@ -115,6 +115,36 @@ def test_policies(spark) -> None:  # noqa: ANN001
         g.remove("Post", {"_id": "1"}, {"userId": "u", "roles": ["r", "editor"]})
 
 
+def test_gates_and_helpers(spark) -> None:  # noqa: ANN001
+    e, _ = make(spark)
+    e = e.with_policy(Policy(deny_write_roles=("guest",), define_roles=("admin",)))
+    with pytest.raises(PermissionDenied):
+        Writer(e).insert("Post", {"title": "a"}, {"roles": ["guest"]})
+    with pytest.raises(PermissionDenied):
+        e.register({"name": "Z", "fields": {}}, ctx={"roles": ["x"]})
+    assert e.register({"name": "Z", "fields": {}}, ctx={"roles": ["admin"]})[0].name == "Z"
+    ctx = Context.of({"userId": "u", "roles": ["guest"]})
+    post = e.registry["Post"]
+    assert e.policy.can_read(post, ctx) and not e.policy.can_write(post, ctx) and not e.policy.owner_only(post, ctx)
+    assert "title" in e.policy.readable_fields(post, ctx) and e.policy.readable_relations(post, ctx) == ["notes", "cover"]
+    assert e.policy.writable_data(post, ctx, {"_id": 1, "title": 2}) == {"_id": 1, "title": 2} and "title" in e.policy.writable_fields(post, ctx)
+
+
+def test_commands(spark) -> None:  # noqa: ANN001
+    e, w = make(spark)
+    run = lambda kind, **c: w.command({"kind": kind, "collection": "posts", **c})
+    run("insertOne", document={"_id": "1", "title": "a"})
+    run("insertMany", documents=[{"_id": "2", "title": "b", "views": 1}, {"_id": "3", "title": "b"}])
+    assert run("updateMany", filter={"title": "b"}, update={"$inc": {"views": 1}}).matched == 2
+    assert run("findOneAndUpdate", filter={"_id": "9"}, update={"$set": {"title": "n"}}, upsert=True).inserted == 1
+    assert run("claim", filter={"title": "b"}, update={"$set": {"status": "x"}}, limit=1).docs[0]["_id"] == "2"
+    assert run("compareAndSet", filter={"_id": "2"}, expected={"status": "x"}, update={"$set": {"status": "y"}}).matched == 1
+    assert run("deleteMany", filter={"_id": "1"}).deleted == 1
+    assert rows(e, "Post", "_id", "views", "status") == [("2", 2, "y"), ("3", 1, None), ("9", None, None)]
+    with pytest.raises(ShapeError):
+        run("drop")
+
+
 def test_triggers(spark) -> None:  # noqa: ANN001
     post = {**POST, "triggers": {"insert": [{"name": "log", "into": "Note", "op": "insert", "data": {"postId": "{{root._id}}", "body": "at {{now}}"}}], "update": [{"name": "paid", "onFields": ["status"], "when": {"eq": ["{{root.status}}", "paid"]}, "fnRef": "hook", "args": {"id": "{{root._id}}", "was": "{{before.status}}"}}], "remove": [{"into": "Note", "op": "remove", "condition": {"postId": "{{before._id}}"}}], "schedule": [{"cron": "0 2 * * *", "fnRef": "hook", "args": {"at": "{{now}}"}}]}}
     e, w = make(spark, post=post)

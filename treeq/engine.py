@@ -56,7 +56,8 @@ class Engine:
 
     # models and callbacks
 
-    def register(self, *specs: dict) -> list[Model]:
+    def register(self, *specs: dict, ctx: Context | dict | None = None) -> list[Model]:
+        self.policy.check_define(Context.of(ctx))
         if self.profile == "text2query" and any(s.get("triggers") for s in specs):
             raise ProfileBlocked("triggers are not for this profile")
         return self.registry.register_batch(list(specs))

@@ -386,6 +386,29 @@ class Writer:
         with self.lock:
             return self.update_many(name, {"$and": [condition, expected]}, data, ctx)
 
+    def command(self, command: dict) -> Written:
+        """Writing commands as they are, over collections by name; their rows are given whole, without defaults and triggers."""
+        kind, name = command.get("kind"), command["collection"]
+        model = next((m for m in self.engine.registry.models.values() if m.collection == name), None) or self.engine.registry[name]
+        quiet = Writer(self.engine, now=self.now, new_id=self.new_id)
+        quiet._fire = lambda *_: None  # type: ignore[method-assign]
+        quiet._document = lambda _m, _c, d, _n: {"_id": self.new_id(model), **d}  # type: ignore[method-assign]
+        if kind == "insertOne":
+            return quiet.insert(model.name, command["document"])
+        if kind == "insertMany":
+            return quiet.insert_many(model.name, command["documents"], upsert_by_id=bool(command.get("upsertById")))
+        if kind == "findOneAndUpdate":
+            return (quiet.upsert if command.get("upsert") else quiet.update)(model.name, command["filter"], command["update"])
+        if kind == "updateMany":
+            return quiet.update_many(model.name, command["filter"], command["update"])
+        if kind == "deleteMany":
+            return quiet.delete_many(model.name, command["filter"])
+        if kind == "claim":
+            return quiet.claim(model.name, command["filter"], command["update"], sort=command.get("sort"), limit=command.get("limit", 1))
+        if kind == "compareAndSet":
+            return quiet.compare_and_set(model.name, command["filter"], command["expected"], command["update"])
+        raise ShapeError(f"unknown command {kind}")
+
     # triggers
 
     def _fire(self, model: Model, event: str, root: dict, before: dict, changed: set[str], now: int, out: Written) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -70,8 +71,9 @@ def grants_of(spec: dict) -> tuple[str, frozenset[str], tuple[Grant, ...]]:
 class Policy:
     """The rules of one engine. Without a context everything is allowed, unless one is required."""
 
-    def __init__(self, *, exempt_roles: tuple[str, ...] = (), closed: bool = False, require_context: bool = False, rbac: dict | None = None) -> None:
+    def __init__(self, *, exempt_roles: tuple[str, ...] = (), closed: bool = False, require_context: bool = False, rbac: dict | None = None, deny_write_roles: tuple[str, ...] = (), define_roles: tuple[str, ...] | None = None) -> None:
         self.exempt, self.closed, self.require_context = frozenset(exempt_roles), closed, require_context
+        self.deny_write, self.define_roles = frozenset(deny_write_roles), define_roles
         self.mode, self.managed, self.grants = grants_of(rbac) if rbac else ("overlay", frozenset(), ())
 
     def need_context(self, ctx: Context | None) -> None:
@@ -166,6 +168,8 @@ class Policy:
 
     def check_write(self, model: Model, ctx: Context | None, action: str) -> None:
         self.need_context(ctx)
+        if ctx is not None and not ctx.internal and self.deny_write.intersection(ctx.roles):
+            raise PermissionDenied(f"a role of this context may write nothing, {model.name} neither")
         if not self.allowed(model.write, ctx):
             raise PermissionDenied(f"no role may {action} {model.name}")
         if self._only_creator(model.write, ctx) and not ctx.user_id:
@@ -174,6 +178,43 @@ class Policy:
         if grants is not None and not any(action in g.actions for g in grants):
             raise PermissionDenied(f"no grant lets {action} {model.name}")
 
+    def check_define(self, ctx: Context | None) -> None:
+        """Who may register models: anyone, unless roles are named for it."""
+        if self.define_roles is not None and not (ctx is not None and (ctx.internal or set(self.define_roles).intersection(ctx.roles))):
+            raise PermissionDenied("no role may define models")
+
+    # what hosts ask
+
+    def can_read(self, model: Model, ctx: Context | None) -> bool:
+        return self._passes(lambda: self.check_read(model, ctx))
+
+    def can_write(self, model: Model, ctx: Context | None, action: str = "update") -> bool:
+        return self._passes(lambda: self.check_write(model, ctx, action))
+
+    @staticmethod
+    def _passes(check: Callable[[], None]) -> bool:
+        try:
+            check()
+        except PermissionDenied:
+            return False
+        return True
+
+    def owner_only(self, model: Model, ctx: Context | None) -> bool:
+        """Whether this context sees only the rows that it owns."""
+        return self._only_creator(model.read, ctx)
+
+    def readable_fields(self, model: Model, ctx: Context | None) -> list[str]:
+        return [f.name for f in model.fields.values() if self.readable(model, f.name, f.read, ctx)]
+
+    def readable_relations(self, model: Model, ctx: Context | None) -> list[str]:
+        return [r.name for r in model.relations.values() if self.readable(model, r.name, r.read, ctx)]
+
+    def writable_fields(self, model: Model, ctx: Context | None) -> list[str]:
+        return [f for f in model.fields if self.writable(model, f, ctx)]
+
+    def writable_data(self, model: Model, ctx: Context | None, data: dict) -> dict:
+        return {k: v for k, v in data.items() if k == "_id" or self.writable(model, k, ctx)}
+
     def writable(self, model: Model, name: str, ctx: Context | None) -> bool:
         f = model.field_at(name)
         if f is not None and not self.allowed(f.write, ctx):

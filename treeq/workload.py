@@ -177,6 +177,24 @@ def exists(spark: SparkSession, sf: str) -> DataFrame:
     return some(-900).toDF("yes").join(some(-90000).toDF("no"), how="cross")  # one row each
 
 
+@query("SELECT event_id AS _id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events ORDER BY 2 DESC NULLS LAST, event_id LIMIT 30")
+def sort_object_path(spark: SparkSession, sf: str) -> DataFrame:
+    return ask(spark, sf, "Event($sort:@s,$limit:@l){ props{ k } }", s=[["props.k", -1]], l=30).select("_id", F.col("props.k").alias("k"))
+
+
+@query("SELECT p_partkey AS _id, p_name AS name, p_size AS size FROM part")
+def project_exclude(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).command({"kind": "find", "collection": "Part", "projection": {"brand": 0, "type": 0, "retailPrice": 0}})
+
+
+@query("SELECT p_partkey AS _id, [p_size, p_size % 7] AS parts, list_sort(list_distinct([p_size, p_size % 7, 1])) AS united, p_size + p_size % 7 AS total, p_size % 7 AS last, CASE WHEN p_size > 40 THEN [p_size] ELSE [] END AS big FROM part")
+def array_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    both = {"$setUnion": [["$size"], ["$rest"], [1]]}
+    p = [{"$addFields": {"rest": {"$arrayElemAt": ["$sizes", -1]}, "size": {"$arrayElemAt": ["$sizes", 0]}}}, {"$project": {"parts": ["$size", "$rest"], "united": both, "total": {"$sum": ["$size", "$rest"]}, "last": "$rest", "big": "$none"}}]
+    df = engine(spark, sf).command({"kind": "aggregate", "collection": "Tagged", "pipeline": p})
+    return df.withColumn("united", F.sort_array("united"))
+
+
 # groups
 
 
@@ -464,6 +482,34 @@ def insert_many_replace(spark: SparkSession, sf: str) -> DataFrame:
     return e.table("Region")
 
 
+@query("SELECT r_regionkey AS _id, CASE WHEN r_regionkey IN (SELECT r_regionkey FROM region ORDER BY r_name DESC LIMIT 2) THEN 'TAKEN' ELSE r_name END AS name FROM region")
+def claim_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e, w = _memory(spark, sf, "region")
+    w.claim("Region", {"_id": {"$gte": 0}}, {"name": "TAKEN"}, sort={"name": -1}, limit=2)
+    return e.table("Region")
+
+
+@query("SELECT n_nationkey AS _id, CASE WHEN n_regionkey = 1 AND n_nationkey < 10 THEN 'SET' ELSE n_name END AS name, n_regionkey AS regionId FROM nation")
+def compare_and_set(spark: SparkSession, sf: str) -> DataFrame:
+    e, w = _memory(spark, sf, "nation")
+    w.compare_and_set("Nation", {"_id": {"$lt": 10}}, {"regionId": 1}, {"name": "SET"})
+    return e.table("Nation")
+
+
+@query("SELECT n_nationkey AS _id, n_name AS name, n_regionkey AS regionId FROM nation UNION ALL SELECT 100, 'N1', 50 UNION ALL SELECT 101, 'N2', 50")
+def mutation_nested(spark: SparkSession, sf: str) -> DataFrame:
+    e, w = _memory(spark, sf, "region", "nation")
+    w.mutation("Region", {"_id": 50, "name": "NEW", "nations": [{"_id": 100, "name": "N1"}, {"_id": 101, "name": "N2"}]})
+    return e.table("Nation")
+
+
+@query("SELECT c_custkey AS _id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+def delete_by_relation(spark: SparkSession, sf: str) -> DataFrame:
+    e, w = _memory(spark, sf, "customer", "orders")
+    w.delete_many("Customer", {"orders": {"totalPrice": {"$gt": 450000}}})
+    return e.table("Customer").select("_id", "name")
+
+
 # SQL and federation
 
 
