@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 from treeq.llm.base import cut, stored, table, text_or_empty
 
-LENGTH, WINDOWS, GROUP, CACHE, STEMS, END_ID = 4096, 8, 32, 400_000, 200_000, 2
+LENGTH, WINDOWS, GROUP, CACHE, STEMS, END_ID = 4096, 8, 32, 800_000, 400_000, 2
 #: ASCII punctuation at a word's end, after a letter or digit that normalising leaves one: the pattern of the vocabulary always cuts there.
 TAIL = re.compile(r"(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])[!-/:-@\[-`{-~]+\Z")
 PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -83,6 +83,8 @@ class WordTokenizer:
             return b""
         if w.isascii() or max(w) < "̀":  # neither composes with what follows when it is lower-cased first
             w = w.lower()
+        if "a" <= w[-1] <= "z":
+            return self._stem(w)
         tail = TAIL.search(w)
         return self._stem(w[: tail.start()]) + self._stem(tail.group()) if tail else self._stem(w)
 
@@ -98,14 +100,18 @@ class WordTokenizer:
             self.starts, self.lens = np.resize(self.starts, grow), np.resize(self.lens, grow)
         get = self.index.get
         known = np.fromiter((get(w, -1) for w in entries), np.int64, len(entries))
-        for i in np.flatnonzero(known < 0):
-            ids = np.frombuffer(self.word(entries[i]), np.uint32)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.n], self.lens[self.n] = self.used, len(ids)
-            self.index[entries[i]] = known[i] = self.n
-            self.used, self.n = self.used + len(ids), self.n + 1
+        if len(new := np.flatnonzero(known < 0)):
+            unknown = [entries[i] for i in new]
+            made = [self.word(w) for w in unknown]
+            lens = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            flat = np.frombuffer(b"".join(made), np.uint32)
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat) + len(flat))
+            self.flat[self.used : self.used + len(flat)] = flat
+            known[new] = places = np.arange(self.n, self.n + len(new))
+            self.starts[places], self.lens[places] = self.used + np.cumsum(lens) - lens, lens
+            self.index.update(zip(unknown, places.tolist(), strict=True))
+            self.used, self.n = self.used + len(flat), self.n + len(new)
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         g = np.insert(known[coded.indices.to_numpy()], ends, 0)
         n = self.lens[g]
