@@ -187,12 +187,12 @@ def project_exclude(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).command({"kind": "find", "collection": "Part", "projection": {"brand": 0, "type": 0, "retailPrice": 0}})
 
 
-@query("SELECT p_partkey AS _id, [p_size, p_size % 7] AS parts, list_sort(list_distinct([p_size, p_size % 7, 1])) AS united, p_size + p_size % 7 AS total, p_size % 7 AS last, CASE WHEN p_size > 40 THEN [p_size] ELSE [] END AS big FROM part")
+@query("SELECT p_partkey AS _id, array_to_string([p_size, p_size % 7], ',') AS parts, array_to_string(list_sort(list_distinct([p_size, p_size % 7, 1])), ',') AS united, (p_size + p_size % 7)::BIGINT AS total, p_size % 7 AS last, CASE WHEN p_size > 40 THEN p_size::VARCHAR ELSE '' END AS big FROM part")
 def array_expressions(spark: SparkSession, sf: str) -> DataFrame:
     both = {"$setUnion": [["$size"], ["$rest"], [1]]}
     p = [{"$addFields": {"rest": {"$arrayElemAt": ["$sizes", -1]}, "size": {"$arrayElemAt": ["$sizes", 0]}}}, {"$project": {"parts": ["$size", "$rest"], "united": both, "total": {"$sum": ["$size", "$rest"]}, "last": "$rest", "big": "$none"}}]
     df = engine(spark, sf).command({"kind": "aggregate", "collection": "Tagged", "pipeline": p})
-    return df.withColumn("united", F.sort_array("united"))
+    return df.withColumns({c: F.array_join(F.sort_array(c) if c == "united" else F.col(c), ",") for c in ("parts", "united", "big")})
 
 
 # groups
@@ -346,7 +346,7 @@ def agg_compute_relation(spark: SparkSession, sf: str) -> DataFrame:
     return ask(spark, sf, "Customer{ orderCount, maxOrder }")
 
 
-@query("SELECT p_partkey AS _id, len(string_split(p_type, ' ')) AS wordCount, 2 * p_size + p_size % 7 AS sizeSum, greatest(p_size, p_size % 7) AS sizeMax, CASE WHEN p_size > 40 THEN p_size::DOUBLE END AS noneAvg FROM part")
+@query("SELECT p_partkey AS _id, len(string_split(p_type, ' ')) AS wordCount, (2 * p_size + p_size % 7)::BIGINT AS sizeSum, greatest(p_size, p_size % 7) AS sizeMax, CASE WHEN p_size > 40 THEN p_size::DOUBLE END AS noneAvg FROM part")
 def agg_compute_inline(spark: SparkSession, sf: str) -> DataFrame:
     return ask(spark, sf, "Tagged{ wordCount, sizeSum, sizeMax, noneAvg }").withColumn("wordCount", F.col("wordCount").cast("long"))
 
