@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     roots = components(links(least)).withColumnRenamed("node", "fp")
     rooted = stored(least.join(roots, "fp"), "rooted")
     joined = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    by_print = least.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    by_print = stored(least.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -290,7 +290,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     roots = components(by_batch(met.select("a", "b", "ta", "tb"), run, "a long, b long")).withColumnRenamed("node", "n")
     rooted = made.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    least_id = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")  # stored: a large component's rows can be split in the join
+    return rooted.join(least_id, "root").select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
