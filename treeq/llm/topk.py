@@ -1,10 +1,10 @@
 """Exact top-k by tiles: blocks of queries times shards of candidates, a selection for each tile, and a tree merge of the lists.
 
 Vectors are packed into shards of SHARD rows and, of those, queries into blocks of BLOCK rows; both are written to the shared
-folder. A tile is a block and a shard that a join on salts brings together: one matrix product, from which each query's k best are
+folder. A tile is a block and a shard that a join on the cells of a grid brings together: one matrix product, from which each query's k best are
 selected. Lists of a query are merged by rounds, FAN at a time, so no task gets all lists of a query and nothing is broadcast. Each tile needs memory for one
 block, one shard and a slice of their product. A query set that is a share of the rows makes rows times queries products, which is
-what an exact search asks for; the shuffle is the shards once and the blocks once for each salt.
+what an exact search asks for; the shuffle copies blocks to the grid's columns and shards to its rows, which for T tasks is about sqrt(T) copies.
 
 Components become floor(256 * x), x as double. Products are exact: in doubles where no sum can reach 2^53, in Python's integers
 beyond; a returned score outside a long is an error. Vectors that are null or hold null or non-finite components take no part; vectors of
@@ -138,11 +138,18 @@ def top_k(df: DataFrame, query: Column, k: int, *, id_col: str = "vec_id", vecto
     rows = packed.mapInArrow(_places, "shard long, id long, place int").where("id <> %d" % NULL_ID)
     chosen = rows.where(query).groupBy("shard").agg(F.collect_list("place").alias("chosen"))
     asked = stored(packed.join(chosen, "shard").mapInArrow(queries, "q_shard long, dim int, q_ids binary, q_places binary, q_vectors binary"), "queries")
-    # Shards are dealt to salts and each block is copied to every salt, so that the join deals out tiles evenly.
-    salts, total = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), packed.count()
-    blocks = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "dim", "salt")
-    dealt = packed.select("shard", "dim", "ids", "vectors", F.pmod(F.xxhash64("shard"), F.lit(salts)).cast("int").alias("salt"), F.pmod(F.xxhash64("shard", F.lit(1)), F.lit(max(total, 1))).alias("lot"))
-    tiles = blocks.join(dealt.repartition(salts, "dim", "salt"), ["dim", "salt"])
+    # A grid of tasks: a block goes to one row and every column of it, a shard to one column and every row, so that tiles are dealt out
+    # evenly. The number of columns is what copies the least.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = packed.agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows")).first()
+    total, sought = size["shards"], asked.agg(F.sum(F.length("q_places") / 4)).first()[0] or 1
+    columns = int(min(tasks, max(1, round((tasks * (size["rows"] or 1) / sought) ** 0.5))))
+    rows_of_grid = -(-tasks // columns)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = asked.withColumn("row", F.pmod(F.xxhash64("q_shard", "q_places"), F.lit(rows_of_grid)).cast("int")).withColumn("column", every(columns))
+    dealt = packed.select("shard", "dim", "ids", "vectors", F.pmod(F.xxhash64("shard"), F.lit(columns)).cast("int").alias("column"), F.pmod(F.xxhash64("shard", F.lit(1)), F.lit(max(total, 1))).alias("lot")).withColumn("row", every(rows_of_grid))
+    grid = ["dim", "row", "column"]
+    tiles = blocks.repartition(tasks, *grid).join(dealt.repartition(tasks, *grid), grid)
     lists = stored(tiles.mapInArrow(_tiles(k), LISTS), "lists")
     order = lambda a, b: F.when((a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["id"] < b["id"])), -1).when((a["score"] == b["score"]) & (a["id"] == b["id"]), 0).otherwise(1)
     most = max(total - 1, 0)
