@@ -8,7 +8,6 @@ from collections import defaultdict
 
 import duckdb
 import pyarrow as pa
-import pytest
 
 from treeq.llm import html as extraction
 from treeq.llm import lines, pii
@@ -48,10 +47,8 @@ def test_line_dedup(spark) -> None:  # noqa: ANN001
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(df, least_chars=20, least_docs=4, batches=5).collect()]
     assert sorted(got, key=str) == dedup_by_hand(rows, 20, 4)
     assert lines.dedup_lines(df.where("false")).count() == 0
-    with_rest = lines.dedup_lines(df.drop("kept"), with_rest=True)
-    assert with_rest.columns == ["doc_id", "text", "h", "n_lines", "n_dropped", "kept"]
-    with pytest.raises(ValueError, match="kept"):
-        lines.dedup_lines(df, with_rest=True)
+    with_rest = lines.dedup_lines(df, with_rest=True)
+    assert with_rest.columns == ["doc_id", "text", "rest", "n_lines", "n_dropped", "kept"] and with_rest.first().rest.asDict() == {"kept": "x", "h": 5}
 
 
 def test_line_sql() -> None:

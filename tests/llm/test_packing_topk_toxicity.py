@@ -131,7 +131,7 @@ def corpus(n: int, seed: int) -> list[tuple[int, str, int]]:
 
 def test_held_out_accuracy(spark) -> None:  # noqa: ANN001
     rows = corpus(900, 1)
-    docs = spark.createDataFrame([(i, t, 9.9) for i, t, _ in rows] + [(None, "knavery", 0.0), (5000, None, 0.0), (5001, "", 0.0), (5002, "12 !", 0.0), (5003, "anti " * 40_000, 0.0)], "doc_id long, text string, other double")
+    docs = spark.createDataFrame([(i, t, 9.9) for i, t, _ in rows] + [(None, "knavery", 0.0), (5000, None, 0.0), (5001, "", 0.0), (5002, "12 !", 0.0), (5003, "anti " * 40_000, 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     assert len(model.toxic) and model.toxic != model.ordinary

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from treeq.llm import simhash
@@ -72,6 +73,21 @@ def test_lines_and_secrets(spark) -> None:  # noqa: ANN001
     assert clean == {1: "[SECRET] ok", 2: "plain words", 3: None}
 
 
+def test_clashing_columns(spark) -> None:  # noqa: ANN001
+    rng = random.Random(3)
+    names = ["score", "kept", "n_dropped", "n_lines", "lines", "rest", "out", "gone", "node", "component_id", "h", "_id", "label"]
+    docs = frame(spark, {i: " ".join(words(rng, 30)) + "\nsecret=abcdefgh1" for i in range(6)} | {7: None})
+    docs = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) >= 6 and all(r[n] == f"own {n}" for r in rows for n in names), name
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 7
+    empty = docs.where("false")
+    assert all(stage(spark, empty, "/root/testdata/sf0.001").count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 @pytest.fixture(scope="module")
 def small() -> str:
     return "/root/testdata/sf0.001"

@@ -84,7 +84,7 @@ def _merge(runs: DataFrame) -> DataFrame:
     return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.bool_or("fresh").alias("fresh"))
 
 
-def with_lines(docs: DataFrame, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
+def with_lines(docs: DataFrame, id_col: str, text_col: str, rest: list[Column] | None = None) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *(rest or [])).withColumn("lines", F.split("text", "\n", -1))
 
 
@@ -99,7 +99,7 @@ def long_lines(docs: DataFrame, least_chars: int, id_col: str, text_col: str) ->
 
 
 def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", with_rest: bool = False) -> DataFrame:
-    """docs (doc_id, text: null as empty) with n_lines, n_dropped and kept, the text without its dropped lines; with_rest: and all other columns of docs.
+    """docs (doc_id, text: null as empty) with n_lines, n_dropped and kept, the text without its dropped lines; with_rest: and rest, a struct of all other columns of docs.
 
     Texts are shuffled once, to meet their dropped places; before that, only hashes are. Documents go to batches by their id, so
     a key's document count is the sum of its batches' counts.
@@ -114,14 +114,12 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs:
     common = stored(store.merged().where(F.col("n_docs") >= least_docs).select("h", "last_id"), "common")
     out = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("out"))
     out = out.select(F.col("doc_id").alias("out_id"), F.col("text_hash").alias("out_hash"), "out")
-    rest = [c for c in docs.columns if c not in (id_col, text_col)] if with_rest else []
-    taken = {"lines", "out_id", "out_hash", "out", "n_lines", "n_dropped", "kept"}.intersection(rest)
-    if taken:
-        raise ValueError(f"columns that are made here: {sorted(taken)}")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rest = [(F.struct(*others) if others else F.lit(None).cast("int")).alias("rest")] if with_rest else []
     whole = with_lines(docs, id_col, text_col, rest)
     met = whole.join(out, F.col("doc_id").eqNullSafe(F.col("out_id")) & (F.xxhash64("text") == F.col("out_hash")), "left")
     kept = F.when(F.col("out").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("out", i)), "\n"))
-    return met.select("doc_id", "text", *rest, F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    return met.select("doc_id", "text", *(["rest"] if with_rest else []), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

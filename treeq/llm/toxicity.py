@@ -236,16 +236,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([([sys.intern(w) for w in r["_words"].split(" ")] if r["_words"] else [], r["_y"]) for r in sorted(got, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), str(r["_id"]), r["_y"]))])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score double, between 0 and 1."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col double, between 0 and 1; a column that has this name already is replaced."""
+    docs = docs.drop(score_col)
     names = docs.columns
     flat = (model.prior, model.ordinary, model.toxic, model.odds.astype(np.float32).tobytes(), np.asarray(model.weights, float).tobytes())
 
     def run(batch: pa.RecordBatch) -> dict:
         own = _scorer(*flat)
-        return dict(zip(names, batch.columns, strict=True)) | {"score": pa.array([own(t or "") for t in batch.column(names.index(text_col)).to_pylist()], pa.float64())}
+        return dict(zip(names, batch.columns, strict=True)) | {score_col: pa.array([own(t or "") for t in batch.column(names.index(text_col)).to_pylist()], pa.float64())}
 
-    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
+    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{score_col}` double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
