@@ -21,20 +21,21 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; labels are learned from as in the operator."""
     model = toxicity.train(docs, base.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, model, score_col="__score").where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without long lines that many share; the last document of a line keeps it. Texts without lines to drop stay as they are."""
     found = lines.dedup_lines(docs, with_rest=True)
-    return _with_text(found.drop("n_lines"), F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    return _with_text(found.select("doc_id", text.alias("text"), "rest.*"), F.col("text")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies."""
     groups = simhash.similar_documents(docs)
-    gone = base.stored(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
+    gone = base.stored(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
