@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from treeq.errors import NotFound, ShapeError
 from treeq.schema import Location, Model
 
-FILES = ("parquet", "json", "csv", "orc", "text", "avro")
+FILES = ("parquet", "json", "csv", "orc")
 KINDS = (*FILES, "jdbc", "table", "memory")
 ROLES = {"primary": 0, None: 0, "replica": 1, "backup": 2}
 
