@@ -93,10 +93,16 @@ def by_batch(df: DataFrame, f: Callable[..., dict], schema: str, *, slice_bytes:
             for part in cut(batch, slice_bytes):
                 out = f(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names], names=names)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Workers live on after a task; what Arrow keeps for later goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+
+
 def cut(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     at, n = 0, batch.num_rows
     if n and batch.nbytes > slice_bytes:

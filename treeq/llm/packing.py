@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from treeq.llm.base import cut, stored, table, text_or_empty
+from treeq.llm.base import cut, release, stored, table, text_or_empty
 
-LENGTH, WINDOWS, GROUP, CACHE, STEMS, END_ID = 4096, 8, 32, 800_000, 400_000, 2
+LENGTH, WINDOWS, GROUP, CACHE, STEMS, END_ID = 4096, 8, 32, 400_000, 200_000, 2
 #: ASCII punctuation at a word's end, after a letter or digit that normalising leaves one: the pattern of the vocabulary always cuts there.
 TAIL = re.compile(r"(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])[!-/:-@\[-`{-~]+\Z")
 PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -226,6 +226,7 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, windows: int = WIN
                     yield as_batch(made, kind, first, False)
         if made := list(packer.finish(False)):
             yield as_batch(made, kind, first, True)
+        release()
 
     def later_level(level: int, last: bool):  # noqa: ANN202
         def run(t: pa.Table) -> pa.Table:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from treeq.llm.base import by_batch, table, text_or_empty
 
-SAMPLE_DOCS, SAMPLE_WORDS, CACHE = 3000, 1000, 300_000
+SAMPLE_DOCS, SAMPLE_WORDS, CACHE = 3000, 1000, 200_000
 CARRIER, PIECE, LIFT, ORDINARY_BYTES, TOXIC_BYTES, WINDOWS = " the of and to ", 5, 3.0, 64 << 10, 16 << 10, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, CLIP = 24, 40
