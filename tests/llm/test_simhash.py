@@ -87,3 +87,28 @@ def test_texts_and_edge_cases(spark) -> None:
     one = simhash.fingerprint(simhash.shingle_hashes("One two", 3))
     assert one == xxhash.xxh64_intdigest(b"one two", 42)
     assert simhash.fingerprint(simhash.shingle_hashes(" ", 3)) == 0
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_pairs_beside_the_first_of_a_bucket(spark, monkeypatch, block) -> None:
+    """Near copies among texts that share a passage, which are no near copies but share buckets; a chain by its middle text."""
+    monkeypatch.setattr(simhash, "TEXTS", block)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    passage, texts = fresh(160), []
+    for _ in range(30):
+        own = fresh(40)
+        texts += [" ".join(passage + own), " ".join(passage + own[:22] + fresh(18))]
+    texts += [" ".join(fresh(60)) for _ in range(10)]
+    chain = fresh(200)
+    texts += [" ".join(chain), " ".join(chain[12:] + fresh(12)), " ".join(chain[24:] + fresh(24)), " ".join(chain[36:] + fresh(36))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) / len(x | sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert len(set(root)) < len(texts) - 25

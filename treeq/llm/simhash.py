@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.base import by_batch, stored, table, text_or_empty
+from treeq.llm.base import by_batch, release, stored, table, text_or_empty
 from treeq.llm.components import components
 
 SEED, BITS, CODE, CHECK, RADIUS, THRESHOLD = 42, 64, 23, 11, 3, 2
@@ -37,6 +37,8 @@ SEED, BITS, CODE, CHECK, RADIUS, THRESHOLD = 42, 64, 23, 11, 3, 2
 GENERATOR = 0b110001110101
 BLOCK, SMALL, PAIRS = 2048, 64, 1 << 20
 BANDS, SAMPLE = 14, 3
+#: Texts and different shingles of one block of a bucket; a tile compares two blocks.
+TEXTS, SHINGLES, COLUMNS = 256, 1 << 20, 4096
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -233,11 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, bands array<long>): node is XXH64 of the text; each band is the SimHash of the SAMPLE different shingles that are least under its own order."""
+    """(doc_id, node, fp, size, bands array<long>): node is XXH64 of the text, size the number of its different shingles; each band is the SimHash of the SAMPLE different shingles that are least under its own order."""
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def bands(hashes: np.ndarray) -> list[int]:
-        h = np.unique(hashes)
+    def bands(h: np.ndarray) -> list[int]:
         out = []
         for m in odd:
             mixed = h * m
@@ -249,10 +250,11 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
-        return {"doc_id": batch.column(0), "node": batch.column(1), "fp": pa.array([_signed(fingerprint(h)) for h in hashes], pa.int64()), "bands": pa.array(map(bands, hashes), pa.list_(pa.int64()))}
+        different = [np.unique(h) for h in hashes]
+        return {"doc_id": batch.column(0), "node": batch.column(1), "fp": pa.array([_signed(fingerprint(h)) for h in hashes], pa.int64()), "size": pa.array(map(len, different), pa.int64()), "bands": pa.array(map(bands, different), pa.list_(pa.int64()))}
 
     text = text_or_empty(text_col)
-    return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, bands array<long>")
+    return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, size long, bands array<long>")
 
 
 def jaccard(a: str, b: str, words: int) -> float:
@@ -260,23 +262,102 @@ def jaccard(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common: [n, n]. Elements of one set are different."""
+    n = len(sets)
+    values, owners = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    places = np.cumsum(shared) - 1
+    owners, column = owners[shared[column]], places[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owners, column, out = owners[order], column[order], np.zeros((n, n))
+    cuts = np.searchsorted(column, np.arange(0, shared.sum() + COLUMNS, COLUMNS))
+    for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        held = np.zeros((n, COLUMNS if shared.sum() > COLUMNS else max(1, shared.sum())), np.float32)
+        held[owners[x:y], column[x:y] - k * COLUMNS] = 1
+        out += held @ held.T
+    return out
+
+
+def tile_links(sets: list[np.ndarray], groups: np.ndarray, blocks: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places of links that join all groups which pairs of at least this Jaccard share join. Pairs of one group are not looked at, nor, if there are two blocks, pairs of one block."""
+    size = np.array([len(x) for x in sets])
+    met = shared_counts(sets)
+    union = size[:, None] + size[None, :] - met
+    ok = np.where(union > 0, met / np.maximum(union, 1), 1.0) >= least
+    if blocks.min() < blocks.max():
+        ok &= blocks[:, None] != blocks[None, :]
+    label, out = np.unique(groups, return_inverse=True)[1], []
+    ok &= label[:, None] != label[None, :]
+    for i in np.flatnonzero(ok.any(axis=1)):
+        for j in np.flatnonzero(ok[i]):
+            if label[i] != label[j]:
+                out.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _rest(members: DataFrame, groups: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): links within buckets of which some pairs are neither of one group nor checked, in tiles of two blocks of a bucket.
+
+    members (band, value, node, size); groups (node, root); texts (node, text) of all of them. Buckets of the same members are one.
+    """
+    spark = members.sparkSession
+    placed = stored(members.join(groups.toDF("node", "root"), "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"), "size"), "placed")
+    made = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
+    open_ = made.where("n > 2 and r1 <> r2").groupBy("n", "weight", "x1", "x2").agg(F.min(F.struct("band", "value")).alias("at"))
+    blocks = F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("weight") / SHINGLES)).cast("int")
+    open_ = stored(open_.select("at.band", "at.value", blocks.alias("blocks")), "open")
+    if open_.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
+    inside = placed.join(open_, ["band", "value"]).select("band", "value", "node", "root", "blocks", block.alias("block"))
+    tiled = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
+    tiled = stored(tiled, "tiled")
+    rows = tiled.join(texts, "node").select("band", "value", "i", "j", "node", "root", "block", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links_of() -> pa.RecordBatch:
+            roots = np.array([r for _, r, _, _ in held], np.int64)
+            found = tile_links([h for _, _, _, h in held], roots, np.array([k for _, _, k, _ in held]), least) if len(held) > 1 and roots.min() < roots.max() else []
+            return pa.RecordBatch.from_arrays([pa.array([held[p[side]][0] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for own, node, root, at, text in zip(keys, *(batch.column(i).to_pylist() for i in (4, 5, 6)), batch.column(7), strict=True):
+                if own != key:
+                    if held:
+                        yield links_of()
+                    key, held = own, []
+                held.append((node, root, at, np.unique(shingle_hashes(text.as_py(), words))))
+        if held:
+            yield links_of()
+        release()
+
+    return rows.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row: components of links whose texts have at least this share of their different shingles in common.
 
-    Texts that alike differ in far more than THRESHOLD bits of their SimHash (3 to 14 were measured), so candidates are links of whole
-    fingerprints and, besides, texts of which one band is equal: with BANDS bands of SAMPLE shingles a pair of 0.8 is missed once in
-    10,000 times. In a bucket all go with its least member, so copies make no pairs among each other; each candidate is checked on whole
-    texts. Rows of one text are one node. Only texts that are in candidates are shuffled.
+    Texts that alike differ in far more than THRESHOLD bits of their SimHash (3 to 14 were measured), so candidates are texts whose
+    fingerprints links of THRESHOLD bits join and, besides, texts of which one band is equal: with BANDS bands of SAMPLE shingles a
+    pair of 0.8 is missed once in 10,000 times. Each such bucket is first compared with its least member, which makes one group of a
+    bucket of near copies. In buckets that then still hold several groups, all pairs of different groups are compared, in tiles: every
+    pair of a bucket is in one group or checked on whole texts. That is quadratic only in texts which share a bucket but are not alike.
+    Rows of one text are one node. Only texts that are in candidates are shuffled.
     """
     made = stored(sketches(docs, words, id_col, text_col), "sketches")
-    nodes = stored(made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    banded = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
-    buckets = stored(banded.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
-    same = stored(banded, "bands").join(buckets, ["band", "value"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    firsts = stored(prints, "prints")
-    linked = links(firsts.select("fp")).join(firsts.toDF("a", "na"), "a").join(firsts.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    pairs = stored(same.unionByName(linked).distinct(), "pairs")
+    nodes = stored(made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "nodes")
+    linked = components(links(nodes.select("fp").distinct())).toDF("fp", "print")
+    banded = nodes.join(linked, "fp", "left").select("node", "size", F.posexplode(F.concat("bands", F.array(F.coalesce("print", "fp")))).alias("band", "value"))
+    banded = stored(banded, "bands")
+    buckets = stored(banded.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = stored(banded.join(buckets, ["band", "value"]), "members")
+    pairs = stored(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     text = text_or_empty(text_col)
     mine = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
@@ -287,7 +368,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
         keep = [jaccard(x, y, words) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return {k: batch.column(i).filter(pa.array(keep, pa.bool_())) for i, k in enumerate("ab")}
 
-    roots = components(by_batch(met.select("a", "b", "ta", "tb"), run, "a long, b long")).withColumnRenamed("node", "n")
+    alike = stored(by_batch(met.select("a", "b", "ta", "tb"), run, "a long, b long"), "alike")
+    roots = components(alike)
+    more = stored(_rest(members.where("n > 2").select("band", "value", "node", "size"), roots, texts, words, least), "more")
+    if not more.isEmpty():
+        roots = components(alike.unionByName(more))
+    roots = roots.withColumnRenamed("node", "n")
     rooted = made.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     least_id = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")  # stored: a large component's rows can be split in the join
