@@ -153,3 +153,16 @@ def test_without_labels(spark) -> None:  # noqa: ANN001
     ones = spark.createDataFrame([(1, 1), (2, 1), (4, 1)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, ones)).collect()} == {1.0}
     assert toxicity.score(docs.where("false"), toxicity.train(docs.where("false"), none)).count() == 0
+
+
+def test_long_runs_are_read_whole() -> None:
+    run = "".join(chr(0x4E00 + i) for i in range(203))
+    parts = toxicity.words_of(f"Short {run} end")
+    assert parts[0] == "short" and parts[-1] == "end"
+    at = [run.index(p.removeprefix("+")) for p in parts[1:-1]]
+    assert at[0] == 0 and at[-1] + len(parts[-2]) - 1 == 203 and all(0 < b - a <= 3 for a, b in zip(at, at[1:], strict=False))
+    rows = corpus(900, 1)
+    score = toxicity.Scorer(toxicity.fit([(toxicity.words_of(t), y) for _, t, y in rows]))
+    clean = ["".join(t.split())[:160] for _, t, y in corpus(60, 2) if not y]
+    found = [score(x + BAD[k % 4] + x[:15]) >= 0.7 for k, x in enumerate(clean)]
+    assert np.mean(found) > 0.9 and np.mean([score(x) >= 0.7 for x in clean]) < 0.1

@@ -1,7 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on toxic text and one on ordinary text.
 
 A window is a word in a fixed carrier, which spares its compressed length the fixed costs of a frame. A window of toxic text is
-shorter under the toxic dictionary than under the ordinary one. Three fifths of the training texts make the dictionaries, the rest
+shorter under the toxic dictionary than under the ordinary one. An unbroken run of more than CLIP letters, as in scripts without
+spaces, is no one word: it gives windows of PART letters, each STEP letters on, so that no letter goes unread. What their lengths say is
+calibrated apart from words, on such runs of the training texts and on the texts' words run together (RUN_CHARS of each). Three fifths of the training texts make the dictionaries, the rest
 calibrates: the log-odds that a word with such two lengths comes from a toxic text. A text's score is a logistic function, fitted
 on that rest, of its highest log-odds, its next ones and their share of its words, moved so that THRESHOLD is where F1 is highest.
 
@@ -37,21 +39,32 @@ from treeq.llm.base import by_batch, table, text_or_empty
 SAMPLE_DOCS, SAMPLE_WORDS, CACHE = 3000, 1000, 200_000
 CARRIER, PIECE, LIFT, ORDINARY_BYTES, TOXIC_BYTES, WINDOWS = " the of and to ", 5, 3.0, 64 << 10, 16 << 10, 100_000
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, CLIP = 24, 40
+LONGEST, CLIP, PART, STEP, RUN_CHARS = 24, 40, 12, 3, 2000
+#: Stands before a part of a long run.
+MARK = "+"
 THRESHOLD = 0.7
 
 
+def parts_of(run: str) -> list[str]:
+    """Overlapping parts of a run that cover it."""
+    return [MARK + run[i : i + PART] for i in [*range(0, len(run) - PART, STEP), max(len(run) - PART, 0)]]
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The runs of letters; those longer than CLIP as their parts."""
+    runs = WORD.findall(text.lower())
+    if not runs or len(max(runs, key=len)) <= CLIP:
+        return runs
+    return [p for w in runs for p in (parts_of(w) if len(w) > CLIP else [w])]
 
 
 def pieces(word: str) -> list[str]:
-    x = f" {word} "
+    x = f" {word.removeprefix(MARK)} "
     return [x[i : i + PIECE] for i in range(len(x) - PIECE + 1)]
 
 
 def window(word: str) -> bytes:
-    return f"{CARRIER}{word} ".encode()
+    return f"{CARRIER}{word.removeprefix(MARK)} ".encode()
 
 
 class Lengths:
@@ -70,13 +83,13 @@ class Lengths:
 
     def cell(self, word: str) -> int:
         """The word's size, its ordinary length and how much shorter its toxic length is, each in a bounded range."""
-        w = window(word[:CLIP])
+        w = window(word)
         a, b = (len(c.compress(w)) - base for c, base in zip(self.of, self.base, strict=True))
-        size = min(len(word.encode()), LONGEST - 1)
+        size = LONGEST if word.startswith(MARK) else min(len(word.encode()), LONGEST - 1)
         return (size * 32 + min(max(a, 0), 31)) * 16 + min(max(a - b + 4, 0), 15)
 
 
-CELLS = LONGEST * 32 * 16
+CELLS, WORD_CELLS = (LONGEST + 1) * 32 * 16, LONGEST * 32 * 16  # the last are of parts of long runs
 
 
 class Model(NamedTuple):
@@ -160,8 +173,14 @@ def fit(texts: list[tuple[list[str], int]]) -> Model:
     for c, label in zip(cells, y[half == 1], strict=True):
         np.add.at(share[label], np.unique(c), 1)
         docs[label] += 1
+    for i in np.flatnonzero(half):
+        joined = "".join(w for w in texts[i][0] if not w.startswith(MARK))[:RUN_CHARS]
+        if len(joined) > CLIP:
+            np.add.at(share[y[i]], np.unique([own.cell(p) for p in parts_of(joined)]), 1)
     odds = np.log((share[1] + 0.1) / docs[1] / ((share[0] + 0.1 * docs[0] / docs[1] + 0.5) / docs[0])).astype(np.float32)
-    odds[(share[0] + share[1]) == 0] = _unseen(share, docs)
+    for cells_of in (slice(0, WORD_CELLS), slice(WORD_CELLS, CELLS)):
+        t, o = share[1][cells_of], share[0][cells_of]
+        odds[cells_of][(t + o) == 0] = _unseen([o, t], docs)
     x, of = np.stack([text_features(odds[c]) for c in cells]), y[half == 1]
     weights = _fit(x, of.astype(float))
     weights[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - _cut(x @ weights, of)
@@ -180,7 +199,7 @@ def _cut(z: np.ndarray, y: np.ndarray) -> float:
 
 def _unseen(share: list[np.ndarray], words: list[float]) -> np.ndarray:
     """For cells without training words: the odds of all cells that save as much."""
-    saved = np.arange(CELLS) % 16
+    saved = np.arange(len(share[0])) % 16
     t, o = (np.bincount(saved, s, 16) for s in share)
     odds = np.log((t + 0.1) / words[1] / ((o + 0.1 * words[0] / words[1] + 0.5) / words[0]))
     return np.minimum(odds, 1.0)[saved][(share[0] + share[1]) == 0]
