@@ -146,3 +146,14 @@ def test_template_of_a_host(spark) -> None:  # noqa: ANN001
 def test_copies_are_no_template() -> None:
     page = "<article><p>One text</p><p>Two</p></article>"
     assert extraction.extract_group([page] * 30) == ["One text\nTwo"] * 30
+
+
+def test_template_is_the_host_s(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Beside empty pages and another layout, on any page of a large host, and not what a few near copies share."""
+    monkeypatch.setattr(extraction, "PART_ROWS", 30)
+    page = lambda i: f"<div><p>Own {i}</p></div>" + ("<div><p>On half of the pages</p></div>" if i % 2 else "") + f"<section><p>{'Same end' if i % 3 else 'Other end'}</p></section>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(71)] + [(100 + i, "http://a.example/", "" if i % 2 else None) for i in range(6)]
+    rows += [(200 + i, "http://a.example/", f"<div><p>Copied article</p></div><p>{i}</p>") for i in range(9)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Own {i}" for i in range(71)} | {100 + i: "" for i in range(6)} | {200 + i: f"Copied article\n{i}" for i in range(9)}
+    assert got == want

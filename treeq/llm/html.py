@@ -1,14 +1,14 @@
-"""Main text of HTML pages by equivalence classes of tokens.
+"""Main text of HTML pages by equivalence classes of texts.
 
-Pages are dealt by (host, id) ranges and read in that order, so pages of one host come together, GROUP at a time, and a host of any
-size is spread over partitions. In a group, tokens are tags and text blocks told apart by their path. Tokens that occur equally often on every
-page, as the vector of their counts over the pages says, form a class. A class is valid if it has LEAST pages that differ, and its
-tokens come in one order on all of them; classes of one occurrence a page form the skeleton, classes of more nest in its gaps.
-Valid text blocks are template; all other text fills slots. The tags around a slot tell its role, and slots of the article remain.
+Text blocks are told apart by their path. Over all different pages of a host that have text, texts that occur equally often on each
+page, zeros included, form a class: an exclusive or of hashes of (page, count) stands for the vector, so the counts are aggregated
+before they are shuffled. A class counts if it is on LEAST pages and a share of SHARE of the host's pages, and is valid if its texts
+come in one order on all pages that have it, in rounds within one gap of the texts that come once if they are repeated. Texts of
+valid classes are template, on every page of the host. All other text fills slots; roles say which of it is the article.
 
 Roles come from element names and the words of class, id and role. If a page has article elements, its article is what is in
-them; else what is in main elements, or in others that are called so; else all that no other role takes. Groups of fewer than LEAST different pages have no
-template, and roles decide alone.
+them; else what is in main elements, or in others that are called so; else all that no other role takes. Names thus decide where the article is, and the template only
+takes texts out of it. Hosts of fewer than LEAST different pages with text have no template.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line break. Null and empty pages give
 an empty text; so do pages without an article. Null urls are one host. Unclosed and stray tags are handled as browsers do for the
@@ -21,16 +21,16 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.base import table
+from treeq.llm.base import by_batch, stored, table
 
-GROUP, GROUP_BYTES, LEAST = 64, 16 << 20, 8
+LEAST, SHARE, PART_ROWS = 8, 0.2, 2000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg|math|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 NAMED = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -147,56 +147,53 @@ def parse(source: str) -> Page:
     return Page(tokens, blocks)
 
 
-def template(pages: list[Page]) -> set[str]:
-    """Text tokens of the template that different pages of a host share."""
-    if len(pages) < LEAST:
+def _key(b: Block) -> int:
+    return xxhash.xxh64_intdigest(f"{b.path} {b.text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def orders(keys: list[int], classes: dict[int, int]) -> dict[int, int]:
+    """By class, the order of its texts on a page; 0 if they don't come in rounds of one order, or not in one gap of the texts that come once."""
+    held: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    times, gap = Counter(keys), 0
+    for k in keys:
+        if (c := classes.get(k)) is not None:
+            gap += times[k] == 1
+            held[c].append((k, gap))
+    out = {}
+    for c, members in held.items():
+        seen = [k for k, _ in members]
+        first = list(dict.fromkeys(seen))
+        rounds = len(seen) // len(first)
+        ok = first * rounds == seen and (rounds == 1 or members[0][1] == members[-1][1])
+        out[c] = xxhash.xxh64_intdigest(repr(first)) >> 1 | 1 if ok else 0
+    return out
+
+
+def template(pages: list[Page]) -> set[int]:
+    """Keys of the texts that are template among different pages of a host: extract() in small."""
+    every = [[_key(b) for b in p.blocks] for p in pages if p.blocks]
+    if len(every) < LEAST:
         return set()
-    counts = [Counter(p.tokens) for p in pages]
-    everywhere = set(counts[0])
-    for c in counts[1:]:
-        everywhere &= c.keys()
-    classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
-    for t in dict.fromkeys(pages[0].tokens):
-        if t in everywhere:
-            classes[tuple(c[t] for c in counts)].append(t)
-    skeleton = _ordered(classes.pop(tuple([1] * len(pages)), []), pages)
-    kept = set(skeleton)
-    for vector, members in classes.items():
-        if len(set(vector)) == 1:  # repeated equally often on every page: nested, if each stays in one gap of the skeleton
-            kept.update(t for t in members if _one_gap(t, kept, pages))
-    return {t for t in kept if " " in t}
-
-
-def _ordered(tokens: list[str], pages: list[Page]) -> list[str]:
-    """The tokens, in the order of the first page, without those that another page has in another order."""
-    wanted = set(tokens)
-    for p in pages[1:]:
-        place = {t: i for i, t in enumerate(t for t in p.tokens if t in wanted)}
-        best, out = -1, []
-        for t in tokens:
-            if place[t] > best:
-                best = place[t]
-                out.append(t)
-        tokens, wanted = out, set(out)
-    return tokens
-
-
-def _one_gap(token: str, skeleton: set[str], pages: list[Page]) -> bool:
-    for p in pages:
-        gap, seen = 0, set()
-        for t in p.tokens:
-            if t == token:
-                seen.add(gap)
-            elif t in skeleton:
-                gap += 1
-        if len(seen) > 1:
-            return False
-    return True
-
-
-def article(page: Page, shared: set[str]) -> str:
+    vectors: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, keys in enumerate(every):
+        for k, n in Counter(keys).items():
+            vectors[k].append((i, n))
+    classes = {k: hash(tuple(v)) for k, v in vectors.items() if len(v) >= max(LEAST, SHARE * len(every))}
+    found: dict[int, set[int]] = defaultdict(set)
+    for keys in every:
+        for c, o in orders(keys, classes).items():
+            found[c].add(o)
+    return {k for k, c in classes.items() if len(found[c]) == 1 and 0 not in found[c]}
+
+
+def candidates(page: Page) -> list[Block]:
+    """The blocks of the role that the article has."""
     best = max((b.role for b in page.blocks), default=1)
-    return "\n".join(b.text for b in page.blocks if b.role == max(best, 1) and f"{b.path} {b.text}" not in shared)
+    return [b for b in page.blocks if b.role == max(best, 1)]
+
+
+def article(page: Page, shared: set[int]) -> str:
+    return "\n".join(b.text for b in candidates(page) if _key(b) not in shared)
 
 
 def extract_group(sources: list[str]) -> list[str]:
@@ -208,35 +205,43 @@ def extract_group(sources: list[str]) -> list[str]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row. One shuffle by ranges; a task holds a batch and a group of pages."""
+    """(page_id, url, text) of every row. Pages are parsed for the counts and again for the result; a task holds a batch and a host's template."""
     kind = dict(pages.dtypes)[id_col]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, urls, sources, name, size, id_type = [], [], [], None, 0, pa.int64()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(extract_group(sources), pa.string())], names=["page_id", "url", "text"])
-            for x in (ids, urls, sources):
-                x.clear()
-            return made
-
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for i, u, s, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                s = s.as_py()
-                if ids and (h != name or len(ids) == GROUP or size > GROUP_BYTES):
-                    yield out()
-                    size = 0
-                name, size = h, size + len(s)
-                ids.append(i)
-                urls.append(u)
-                sources.append(s)
-        if ids:
-            yield out()
-
-    return rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id").mapInArrow(run, f"page_id {kind}, url string, text string")
+    def count(batch: pa.RecordBatch) -> dict:
+        made = [Counter(map(_key, parse(x.as_py()).blocks)) for x in batch.column(2)]
+        return {"host": batch.column(0), "page": batch.column(1), "texts": pa.array([[{"t": t, "n": n} for t, n in c.items()] for c in made], pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int32())])))}
+
+    counted = by_batch(rows.select("host", F.xxhash64("html").alias("page"), "html"), count, "host string, page long, texts array<struct<t:long,n:int>>")
+    different = stored(counted.groupBy("host", "page").agg(F.any_value("texts").alias("texts"), F.count(F.lit(1)).alias("copies")), "different")
+    hosts = stored(different.groupBy("host").agg(F.count_if(F.size("texts") > 0).alias("pages"), F.sum("copies").alias("rows")), "hosts")
+    parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
+    large = F.broadcast(hosts.where(F.col("rows") > PART_ROWS).select("host", parts.alias("parts")))  # a host in PART_ROWS rows at most
+    by_text = different.select("host", "page", F.inline("texts")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("c")).where(F.col("support") >= LEAST)
+    often = by_text.join(hosts.where(F.col("pages") >= LEAST), "host").where(F.col("support") >= F.lit(SHARE) * F.col("pages"))
+    every_part = F.explode(F.sequence(F.lit(0), parts - 1))
+    templates = stored(often.groupBy("host", "rows").agg(F.collect_list(F.struct("t", "c")).alias("template")).select("host", "template", every_part.alias("part")), "templates")
+    dealt = rows.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("html", "page_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    met = dealt.join(templates, ["host", "part"], "left").select("page_id", "url", "host", "part", "html", "template")
+
+    def read(batch: pa.RecordBatch) -> dict:
+        blocks, found, last, classes = [], [], None, {}
+        for h, source, made in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            if h != last:
+                last, classes = h, {x["t"]: x["c"] for x in made.as_py() or []}
+            page = parse(source.as_py())
+            blocks.append([{"text": b.text, "c": classes.get(_key(b)) if classes else None} for b in candidates(page)])
+            found.append([{"c": c, "o": o} for c, o in orders([_key(b) for b in page.blocks], classes).items()] if classes else [])
+        kinds = [pa.list_(pa.struct([("text", pa.string()), ("c", pa.int64())])), pa.list_(pa.struct([("c", pa.int64()), ("o", pa.int64())]))]
+        return dict(zip(("page_id", "url", "host", "part"), batch.columns[:4], strict=True)) | {"blocks": pa.array(blocks, kinds[0]), "found": pa.array(found, kinds[1])}
+
+    parsed = stored(by_batch(met, read, f"page_id {kind}, url string, host string, part int, blocks array<struct<text:string,c:long>>, found array<struct<c:long,o:long>>"), "parsed")
+    invalid = parsed.select("host", F.inline("found")).groupBy("host", "c").agg(F.min("o").alias("o1"), F.max("o").alias("o2")).where("o1 = 0 or o1 <> o2")
+    invalid = stored(invalid.join(hosts, "host").groupBy("host", "rows").agg(F.collect_list("c").alias("bad")).select("host", "bad", every_part.alias("part")), "invalid")
+    kept = F.filter("blocks", lambda b: b["c"].isNull() | F.coalesce(F.array_contains("bad", b["c"]), F.lit(False)))
+    return parsed.join(invalid, ["host", "part"], "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
