@@ -4,7 +4,7 @@ Text blocks are told apart by their path. Over all different pages of a host tha
 page, zeros included, form a class: an exclusive or of hashes of (page, count) stands for the vector, so the counts are aggregated
 before they are shuffled. A class counts if it is on LEAST pages and a share of SHARE of the host's pages, and is valid if its texts
 come in one order on all pages that have it, in rounds within one gap of the texts that come once if they are repeated. Texts of
-valid classes are template, on every page of the host. All other text fills slots; roles say which of it is the article.
+valid classes are template, on every page of the host. All other text fills slots; roles say which of it is the article. Tags are in no class.
 
 Roles come from element names and the words of class, id and role. If a page has article elements, its article is what is in
 them; else what is in main elements, or in others that are called so; else all that no other role takes. Names thus decide where the article is, and the template only
