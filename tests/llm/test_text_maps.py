@@ -53,6 +53,19 @@ def test_markov_tells_random_from_identifiers() -> None:
     assert [(s.kind, text[s.start : s.end]) for s in secrets.all_spans(text, model)] == [(3, "aZ3kQ9xW0pLm8Vt5Rb2Yd7Hc")]
 
 
+def test_markov_judges_parts_rests_and_letters() -> None:
+    counts = np.stack([secrets._bigrams(secrets._prior()), secrets._bigrams(secrets._ordinary_prior())])
+    p = (counts[:, :, :-1] + 0.5) / (counts[:, :, :-1] + 0.5).sum(axis=2, keepdims=True)
+    model = np.log(p[0] / p[1])
+    key = "aZ3kQ9xW0pLm8Vt5Rb2Yd7Hc"
+    found = lambda t: [t[s.start : s.end] for s in secrets.all_spans(t, model) if s.kind == 3]
+    assert found("user/name/value/count/total/price/column/table/file-" * 3 + key + "/order.line") == [key]
+    assert [x.strip("/") for x in found(f"{key}/0123456789abcdef01234567/{key}")] == [key, key]
+    assert found("aZQkRxWqpLmGVtKRbXYdJHcBzN") == ["aZQkRxWqpLmGVtKRbXYdJHcBzN"]
+    assert found("user_name/valueCount.totalPrice") == []
+    assert secrets._segments([1, -3, 2, -1, 4, -9, 5]) == [(0, 1), (2, 5), (6, 7)]
+
+
 def test_scan_and_redact(spark) -> None:  # noqa: ANN001
     texts = [None, "", 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é', "é😀 password: hunter22", LONG, "é😀 password: hunter22"]
     df = docs(spark, texts)

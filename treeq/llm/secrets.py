@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 Spans are kind:start:end in code points, end exclusive. The base kinds are found leftmost and without overlaps, each kind by
-itself; matches that fail their length are dropped. Kind "markov" adds runs of token characters that overlap no base span and
-that a first-order Markov model of random strings explains better than one of ordinary identifiers.
+itself; matches that fail their length are dropped. Kind "markov" adds runs of token characters that a first-order Markov model
+of random strings explains better than one of ordinary identifiers. Base spans are cut out of a run and the rest is judged; of a run
+that isn't random as a whole, the segments of its parts between / . = - are that are. The models alone decide, with digits or without.
 
 The models are trained on labelled samples: values that the base patterns found (random) and other words of the same documents
 (ordinary), from at most SAMPLE_ROWS documents, and PRIOR random strings of fixed seed, which alone serve where a table has no
@@ -36,6 +37,8 @@ ASSIGN_LEAST = 6
 SAMPLE_ROWS, PRIOR, LEAST, MARGIN, SMOOTH = 4000, 2000, 20, 0.6, 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST)
+#: What a run is cut into: names and values, and what stands between them.
+PART = re.compile(r"[/.=-]+|[^/.=-]+")
 WORD = re.compile(r"[A-Za-z0-9+/_=.-]{4,}")
 _INDEX = np.full(256, len(ALPHABET), np.int64)
 _INDEX[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
@@ -110,15 +113,59 @@ def ratio(word: str, model: np.ndarray) -> float:
     return float(model[np.concatenate([[SIZE - 1], x[:-1]]), x].mean())
 
 
+def _segments(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring segments (Ruzzo and Tompa), start and end."""
+    out: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start = i
+        while out:
+            j = len(out) - 1
+            while j >= 0 and out[j][2] >= before:
+                j -= 1
+            if j < 0 or out[j][3] >= total:
+                break
+            start, before = out[j][0], out[j][2]
+            del out[j:]
+        out.append((start, i + 1, before, total))
+    return [x[:2] for x in out]
+
+
+def random_parts(run: str, model: np.ndarray) -> list[tuple[int, int]]:
+    """The run if its mean ratio is MARGIN or more, else all segments of its parts of which that holds; LEAST characters at least."""
+    if len(run) < LEAST:
+        return []
+    x = _INDEX[np.frombuffer(run.encode(), np.uint8)]
+    each = model[np.concatenate([[SIZE - 1], x[:-1]]), x]
+    if float(each.mean()) >= MARGIN:
+        return [(0, len(run))]
+    cuts = [m.start() for m in PART.finditer(run)]
+    if len(cuts) < 2:
+        return []
+    ends = [*cuts[1:], len(run)]
+    each[cuts] = model[SIZE - 1, x[cuts]]  # a part is scored as a run of its own, and what stands between parts tells nothing
+    each[np.isin(x, [ALPHABET.index(c) for c in "/.=-"])] = 0
+    found = _segments(np.add.reduceat(each - MARGIN, cuts).tolist())
+    return [(cuts[i], ends[j - 1]) for i, j in found if ends[j - 1] - cuts[i] >= LEAST]
+
+
 def all_spans(text: str, model: np.ndarray) -> list[Span]:
     base = base_spans(text)
-    found, at, reach = list(base), 0, 0
+    found, at = list(base), 0
     for m in RUN.finditer(text):
-        while at < len(base) and base[at].start < m.end():
-            reach = max(reach, base[at].end)
+        while at < len(base) and base[at].end <= m.start():
             at += 1
-        if reach <= m.start() and ratio(m.group(), model) >= MARGIN and any(c.isdigit() for c in m.group()):
-            found.append(Span(m.start(), 3, m.end()))
+        left, k = m.start(), at
+        while left < m.end():
+            right = min(m.end(), base[k].start) if k < len(base) else m.end()
+            if right > left:
+                found += [Span(left + i, 3, left + j) for i, j in random_parts(text[left:right], model)]
+            if k == len(base) or right == m.end():
+                break
+            left, k = max(left, base[k].end), k + 1
     return sorted(found)
 
 
