@@ -105,6 +105,12 @@ def test_media_round_trip(spark) -> None:  # noqa: ANN001
         media.load(b"nothing")
 
 
+def test_digests_are_of_the_stored_tensors(spark) -> None:  # noqa: ANN001
+    texts = [None, "", "héllo" * 1000, LONG]
+    whole = {(r.n_bytes, hashlib.sha256(r.tensor).hexdigest(), media.tensors(r.tensor).num_rows) for r in media.audio_columns(docs(spark, texts)).collect()}
+    assert {(r.n_bytes, r.tensor_sha256, r.n_patches) for r in media.audio_columns(docs(spark, texts), digest=True).collect()} == whole
+
+
 def test_signal_processing() -> None:
     rate, n = media.RATE, 16_000
     tone = (128 + 100 * np.sin(2 * np.pi * 440 * np.arange(n) / rate)).astype(np.uint8)

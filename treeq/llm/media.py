@@ -159,13 +159,15 @@ def audio_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         media = store(padded(raw))
         payload = load(media)
         f = features(payload)
+        tensor = tensor_ipc(f)
         if not digest:
-            return len(raw), media, tensor_ipc(f), [{"start_ms": a, "end_ms": b} for a, b in f.active]
+            return len(raw), media, tensor, [{"start_ms": a, "end_ms": b} for a, b in f.active]
         sha = lambda x: hashlib.sha256(x).hexdigest()
         bands = ",".join(str(int(v)) for v in np.rint(f.bands * 16))
         spoken = sum(b - a for a, b in f.active)
-        feature = f"mel16={bands};active={len(f.active)}:{spoken}ms;patches={len(f.patches)}"
-        return len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media), feature, sha(np.rint(f.patches * 8).astype("<i2").tobytes()), len(f.patches)
+        n_patches = tensors(tensor).num_rows
+        feature = f"mel16={bands};active={len(f.active)}:{spoken}ms;patches={n_patches}"
+        return len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media), feature, sha(tensor), n_patches
 
     def run(batch: pa.RecordBatch) -> dict:
         names = [x.split()[0] for x in schema.replace("array<struct<start_ms:long,end_ms:long>>", "x").split(", ")]
