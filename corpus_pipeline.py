@@ -18,29 +18,31 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; labels are learned from as in the operator."""
-    model = toxicity.train(docs, base.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_col="__score").where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    model, score = toxicity.train(docs, base.table(spark, sf_dir, "labels")), base.new_name("score")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*_columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without long lines that many share; the last document of a line keeps it. Texts without lines to drop stay as they are."""
     found = lines.dedup_lines(docs, with_rest=True)
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
-    return _with_text(found.select("doc_id", text.alias("text"), "rest.*"), F.col("text")).select(*docs.columns)
+    return _with_text(found.select("doc_id", text.alias("text"), "rest.*"), F.col("text")).select(*_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies."""
-    groups = simhash.similar_documents(docs)
-    gone = base.stored(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one of the least id."""
+    return simhash.first_documents(docs).select(*_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced."""
-    return _with_text(secrets.redact(docs), F.col("text")).select(*docs.columns)
+    return _with_text(secrets.redact(docs), F.col("text")).select(*_columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

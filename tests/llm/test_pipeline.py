@@ -63,6 +63,18 @@ def test_near_copies(spark) -> None:  # noqa: ANN001
     assert set(kept) == set(groups) and all(kept[i] == texts[i] for i in kept)
 
 
+def test_near_copies_by_row(spark) -> None:  # noqa: ANN001
+    """Ids that repeat or are null: rows go by id and text, one row of each group stays."""
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(3, a), (5, f"{a} tail"), (5, b), (9, c), (9, c), (None, d), (None, f"{d} tail"), (None, e), (7, f"{e} tail")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], DOCS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    texts = sorted(r.text for r in kept)
+    assert len(texts) == 5 and {(r.doc_id, r.text) for r in kept} >= {(3, a), (5, b), (9, c), (7, f"{e} tail")}
+    assert sum(t.startswith(d) for t in texts) == 1 and next(r.source for r in kept if r.doc_id == 9) == "s3"
+
+
 def test_lines_and_secrets(spark) -> None:  # noqa: ANN001
     rng = random.Random(2)
     shared = "this line is shared by very many of the documents"

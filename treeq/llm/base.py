@@ -32,9 +32,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset: a temporary one on a local master, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='treeq-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -80,6 +83,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_name(name: str) -> str:
+    """A column name that no caller's column has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 

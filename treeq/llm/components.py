@@ -9,7 +9,7 @@ from treeq.llm.base import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b: long) -> (node, root) for every node of an edge; nodes of one component share the root, a node of it.
+    """edges (a, b: of one type with an order) -> (node, root) for every node of an edge; nodes of one component share the root, a node of it.
 
     In each round a node goes to the neighbour, or itself, of the least hash; a random order takes a constant share of the nodes
     off in every round, also on long chains. Self-loops and repeated edges are allowed. Each round is written to the shared folder.

@@ -52,6 +52,8 @@ class WordTokenizer:
         parts = kinds["pre_tokenizer"]["pretokenizers"]
         if not ("\\s" in parts[0]["pattern"]["Regex"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and parts[1]["type"] == "ByteLevel"):
             raise ValueError("this tokenizer doesn't drop white space between its matches")
+        if [x["type"] for x in kinds["normalizer"].get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("this tokenizer doesn't compose, join white space and lower-case, in this order")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         #: The printable character that stands for each byte in byte-level vocabularies.

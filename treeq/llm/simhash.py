@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeq.llm.base import by_batch, release, stored, table, text_or_empty
@@ -37,6 +37,8 @@ SEED, BITS, CODE, CHECK, RADIUS, THRESHOLD = 42, 64, 23, 11, 3, 2
 GENERATOR = 0b110001110101
 BLOCK, SMALL, PAIRS = 2048, 64, 1 << 20
 BANDS, SAMPLE = 14, 3
+#: Links between texts, by text_node().
+LINKS = "a binary, b binary"
 #: Texts and different shingles of one block of a bucket; a tile compares two blocks.
 TEXTS, SHINGLES, COLUMNS = 256, 1 << 20, 4096
 
@@ -234,8 +236,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_node(text_col: str = "text") -> Column:
+    """A text's identity: its MD5, 16 bytes; a null text is an empty one."""
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, size, bands array<long>): node is XXH64 of the text, size the number of its different shingles; each band is the SimHash of the SAMPLE different shingles that are least under its own order."""
+    """(doc_id, node, fp, size, bands array<long>): node is text_node(), size the number of its different shingles; each band is the SimHash of the SAMPLE different shingles that are least under its own order."""
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def bands(h: np.ndarray) -> list[int]:
@@ -253,8 +260,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
         different = [np.unique(h) for h in hashes]
         return {"doc_id": batch.column(0), "node": batch.column(1), "fp": pa.array([_signed(fingerprint(h)) for h in hashes], pa.int64()), "size": pa.array(map(len, different), pa.int64()), "bands": pa.array(map(bands, different), pa.list_(pa.int64()))}
 
-    text = text_or_empty(text_col)
-    return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, size long, bands array<long>")
+    return by_batch(docs.select(F.col(id_col).alias("doc_id"), text_node(text_col).alias("node"), text_or_empty(text_col).alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, node binary, fp long, size long, bands array<long>")
 
 
 def jaccard(a: str, b: str, words: int) -> float:
@@ -310,7 +316,7 @@ def _rest(members: DataFrame, groups: DataFrame, texts: DataFrame, words: int, l
     blocks = F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("weight") / SHINGLES)).cast("int")
     open_ = stored(open_.select("at.band", "at.value", blocks.alias("blocks")), "open")
     if open_.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], LINKS)
     block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
     inside = placed.join(open_, ["band", "value"]).select("band", "value", "node", "root", "blocks", block.alias("block"))
     tiled = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
@@ -321,9 +327,10 @@ def _rest(members: DataFrame, groups: DataFrame, texts: DataFrame, words: int, l
         key, held = None, []
 
         def links_of() -> pa.RecordBatch:
-            roots = np.array([r for _, r, _, _ in held], np.int64)
-            found = tile_links([h for _, _, _, h in held], roots, np.array([k for _, _, k, _ in held]), least) if len(held) > 1 and roots.min() < roots.max() else []
-            return pa.RecordBatch.from_arrays([pa.array([held[p[side]][0] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+            labels: dict[bytes, int] = {}
+            roots = np.array([labels.setdefault(r, len(labels)) for _, r, _, _ in held])
+            found = tile_links([h for _, _, _, h in held], roots, np.array([k for _, _, k, _ in held]), least) if len(labels) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[p[side]][0] for p in found], pa.binary()) for side in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
@@ -337,18 +344,19 @@ def _rest(members: DataFrame, groups: DataFrame, texts: DataFrame, words: int, l
             yield links_of()
         release()
 
-    return rows.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j").mapInArrow(run, LINKS)
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row: components of links whose texts have at least this share of their different shingles in common.
+    """(doc_id, node, component_id, first boolean) of every row: components of links whose texts have at least this share of their different shingles in common.
 
     Texts that alike differ in far more than THRESHOLD bits of their SimHash (3 to 14 were measured), so candidates are texts whose
     fingerprints links of THRESHOLD bits join and, besides, texts of which one band is equal: with BANDS bands of SAMPLE shingles a
     pair of 0.8 is missed once in 10,000 times. Each such bucket is first compared with its least member, which makes one group of a
     bucket of near copies. In buckets that then still hold several groups, all pairs of different groups are compared, in tiles: every
     pair of a bucket is in one group or checked on whole texts. That is quadratic only in texts which share a bucket but are not alike.
-    Rows of one text are one node. Only texts that are in candidates are shuffled.
+    Rows of one text are one node, told by 128 bits. Only texts that are in candidates are shuffled. first: the row's id and text are the
+    component's first, ids in order, nulls last, texts of one id by node. Rows that repeat an id and a text share it.
     """
     made = stored(sketches(docs, words, id_col, text_col), "sketches")
     nodes = stored(made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "nodes")
@@ -359,7 +367,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     members = stored(banded.join(buckets, ["band", "value"]), "members")
     pairs = stored(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     text = text_or_empty(text_col)
-    mine = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    mine = docs.select(text_node(text_col).alias("node"), text.alias("text"))
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     texts = stored(mine.join(wanted, "node").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
     met = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -368,16 +376,37 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
         keep = [jaccard(x, y, words) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return {k: batch.column(i).filter(pa.array(keep, pa.bool_())) for i, k in enumerate("ab")}
 
-    alike = stored(by_batch(met.select("a", "b", "ta", "tb"), run, "a long, b long"), "alike")
+    alike = stored(by_batch(met.select("a", "b", "ta", "tb"), run, LINKS), "alike")
     roots = components(alike)
     more = stored(_rest(members.where("n > 2").select("band", "value", "node", "size"), roots, texts, words, least), "more")
     if not more.isEmpty():
         roots = components(alike.unionByName(more))
     roots = roots.withColumnRenamed("node", "n")
-    rooted = made.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = made.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
-    least_id = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")  # stored: a large component's rows can be split in the join
-    return rooted.join(least_id, "root").select("doc_id", "component_id")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")
+    least_rows = stored(rooted.groupBy("root").agg(least_row), "components")  # stored: a large component's rows can be split in the join
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node"))
+    return rooted.join(least_rows, "root").select("doc_id", "node", F.col("least.doc_id").alias("component_id"), first.alias("first"))
+
+
+def first_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of similar_documents(), with all its columns.
+
+    Rows stay or go by id and text, so rows that share an id, or have none, are judged apart. Of rows with the first id and text, the
+    least in its other columns stays.
+    """
+    groups = stored(similar_documents(docs, words, least, id_col, text_col), "groups")
+    gone = groups.where(~F.col("first")).select("doc_id", "node").distinct()
+    repeated = stored(groups.where("first").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "node"), "repeated")
+    same = lambda keys: docs[f"`{id_col}`"].eqNullSafe(keys["doc_id"]) & (F.unhex(F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit("")))) == keys["node"])
+    left = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return left
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.join(repeated, same(repeated), "left_semi").select(F.col(f"`{id_col}`").alias("i"), text_node(f"`{text_col}`").alias("t"), row.alias("row"))
+    one = one.groupBy("i", "t").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.join(repeated, same(repeated), "left_anti").unionByName(one.select("row.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
