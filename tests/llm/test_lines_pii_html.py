@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -51,6 +52,17 @@ def test_line_dedup(spark) -> None:  # noqa: ANN001
     assert with_rest.columns == ["doc_id", "text", "rest", "n_lines", "n_dropped", "kept"] and with_rest.first().rest.asDict() == {"kept": "x", "h": 5}
 
 
+def test_many_dropped_lines(spark) -> None:  # noqa: ANN001
+    """A text of 100,000 lines of which every second goes: linear in the lines."""
+    line = lambda k: f"a line that five documents share, number {k}"
+    long = "\n".join(line(k % 1000) if k % 2 else str(k) for k in range(100_000))
+    rows = [(0, long), *((i, "\n".join(map(line, range(1000)))) for i in range(1, 6))]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0].n_dropped == 50_000 and got[0].kept == "\n".join(str(k) for k in range(0, 100_000, 2)) and got[5].n_dropped == 0
+
+
 def test_line_sql() -> None:
     rows = [(i, t) for i, t in line_rows() if i is not None and i < 73]
     rows = list({i: (i, t) for i, t in rows}.values())

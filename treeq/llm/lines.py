@@ -12,6 +12,8 @@ document below all others. Lines of any length and number are allowed. An input
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +86,16 @@ def _merge(runs: DataFrame) -> DataFrame:
     return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.bool_or("fresh").alias("fresh"))
 
 
-def with_lines(docs: DataFrame, id_col: str, text_col: str, rest: list[Column] | None = None) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *(rest or [])).withColumn("lines", F.split("text", "\n", -1))
+def without(lines: Column, places: Column) -> Column:
+    """The lines whose place isn't among the different places, joined: what stands between neighbours of the sorted places, in linear time."""
+    cuts = F.concat(F.array(F.lit(-1)), F.array_sort(places), F.array(F.size(lines)))
+    between = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: F.slice(lines, F.get(c, k - 1) + 2, F.get(c, k) - F.get(c, k - 1) - 1))
+    return F.array_join(F.flatten(with_value(cuts, between)), "\n")
+
+
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def long_lines(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -93,7 +103,8 @@ def long_lines(docs: DataFrame, least_chars: int, id_col: str, text_col: str) ->
 
     A line shorter than that before stripping has a shorter key, so most short lines are never normalised.
     """
-    lines = with_lines(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode("lines").alias("at", "line"))
+    text = text_or_empty(text_col)
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     keyed = lines.where(F.char_length("line") >= least_chars).withColumn("key", line_key(F.col("line")))
     return keyed.where(F.char_length("key") >= least_chars).select("doc_id", "text_hash", "at", key_hash(F.col("key")).alias("h"))
 
@@ -101,25 +112,26 @@ def long_lines(docs: DataFrame, least_chars: int, id_col: str, text_col: str) ->
 def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", with_rest: bool = False) -> DataFrame:
     """docs (doc_id, text: null as empty) with n_lines, n_dropped and kept, the text without its dropped lines; with_rest: and rest, a struct of all other columns of docs.
 
-    Texts are shuffled once, to meet their dropped places; before that, only hashes are. Documents go to batches by their id, so
-    a key's document count is the sum of its batches' counts.
+    Texts are shuffled once, to meet their dropped places, and are split only then; before that, only hashes are. Documents go to batches by
+    their id, so a key's document count is the sum of its batches' counts. Dropping takes time linear in a text's lines.
     """
     spark = docs.sparkSession
     lines = stored(long_lines(docs, least_chars, id_col, text_col), "lines")
+    of_doc = lines.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "h", "doc_id").distinct()
+    counted = stored(of_doc.groupBy("batch", "h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id")), "batches", by="batch")
     store = LineStore(spark)
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for k in range(batches):
-        of_doc = lines.where(dealt == k).select("h", "doc_id").distinct()
-        store.add(stored(of_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id")), "batch"))
+        store.add(counted.where(F.col("batch") == k).select("h", "n_docs", "last_id"))
     common = stored(store.merged().where(F.col("n_docs") >= least_docs).select("h", "last_id"), "common")
     out = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("out"))
     out = out.select(F.col("doc_id").alias("out_id"), F.col("text_hash").alias("out_hash"), "out")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     rest = [(F.struct(*others) if others else F.lit(None).cast("int")).alias("rest")] if with_rest else []
-    whole = with_lines(docs, id_col, text_col, rest)
+    whole = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *rest)
     met = whole.join(out, F.col("doc_id").eqNullSafe(F.col("out_id")) & (F.xxhash64("text") == F.col("out_hash")), "left")
-    kept = F.when(F.col("out").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("out", i)), "\n"))
-    return met.select("doc_id", "text", *(["rest"] if with_rest else []), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    kept = F.when(F.col("out").isNull(), F.col("text")).otherwise(with_value(F.split("text", "\n", -1), lambda x: without(x, F.col("out"))))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    return met.select("doc_id", "text", *(["rest"] if with_rest else []), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
