@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import regex
 import pytest
 
 from treeq.llm import bpe, media, secrets
@@ -127,6 +128,17 @@ def test_signal_processing() -> None:
     assert media.hysteresis(np.array([0, 2, 5, 2, 0, 2, 0]), 1, 4) == [(1, 4)]
 
 
+def test_secret_model_is_the_same_for_any_partitions(spark, monkeypatch) -> None:  # noqa: ANN001
+    """The sample is of different texts, whatever their copies and partitions; and it is bounded in expectation."""
+    monkeypatch.setattr(secrets, "SAMPLE_ROWS", 300)
+    rng = random.Random(5)
+    texts = [f"token = {rng.randbytes(9).hex()} and other_words_{k % 50} in the text {k}" for k in range(1000)]
+    models = [secrets.train(docs(spark, texts + texts[:k]).repartition(parts)) for k, parts in ((0, 1), (0, 7), (0, 40))]
+    assert all((m == models[0]).all() for m in models)
+    more = docs(spark, texts + texts[:1] * 3000)
+    assert (secrets.train(more.repartition(3)) == secrets.train(more.repartition(11))).all()
+
+
 # BPE
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -134,13 +146,15 @@ ALPHABET = ["'", "s", "re", " ", "  ", "\n", "\t", "1", "23", "é", "ñ", "the",
 
 
 def test_tree_encoding_is_the_library_s() -> None:
-    whole = bpe.encoder(PATH, public_tokenizers.PATTERN)
-    small = bpe.TreeEncoder({b: i for i, b in whole.bytes_of.items()}, public_tokenizers.PATTERN, leaf_chars=8, leaf_bytes=8, window=4)
+    whole = bpe.encoder(PATH, public_tokenizers.PATTERN, bpe.SEAM)
+    ranks = {b: i for i, b in whole.bytes_of.items()}
+    small = bpe.TreeEncoder(ranks, public_tokenizers.PATTERN, leaf_chars=8, leaf_bytes=8, window=4, seam=regex.compile(bpe.SEAM))
+    seamless = bpe.TreeEncoder(ranks, public_tokenizers.PATTERN, leaf_chars=8, leaf_bytes=8, window=4)
     rng = random.Random(1)
     for k in range(4000):
         t = "".join(rng.choice(ALPHABET if k % 2 else list("abcdeiorstn")) for _ in range(rng.randint(0, 80)))
         ids = whole.core.encode_ordinary(t)
-        assert small.encode(t) == ids and small.decode(ids) == t.encode()
+        assert small.encode(t) == seamless.encode(t) == ids and small.decode(ids) == t.encode()
     for t in ("a" * 50_000, "x1" * 30_000, " " * 30_000, "漢字" * 20_000, "ab '" * 20_000, LONG):
         assert whole.encode(t) == whole.core.encode_ordinary(t)
 
@@ -148,7 +162,7 @@ def test_tree_encoding_is_the_library_s() -> None:
 def test_encode_decode(spark) -> None:  # noqa: ANN001
     texts = [None, "", "don't stop\n\n  now é😀", LONG, "don't stop\n\n  now é😀"]
     core = bpe.encoder(PATH, public_tokenizers.PATTERN).core
-    got = sorted(tuple(r)[1:] for r in bpe.encode_decode(docs(spark, texts), PATH, public_tokenizers.PATTERN, digest=True).collect())
+    got = sorted(tuple(r)[1:] for r in bpe.encode_decode(docs(spark, texts), PATH, public_tokenizers.PATTERN, seam=bpe.SEAM, digest=True).collect())
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got == sorted((len(i := core.encode_ordinary(t or "")), sha(",".join(map(str, i)).encode()), sha((t or "").encode())) for t in texts)
     row = bpe.encode_decode(docs(spark, ["hi there"]), PATH, public_tokenizers.PATTERN).first()

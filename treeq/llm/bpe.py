@@ -3,9 +3,9 @@
 A text is halved until the parts are leaves, leaves are encoded by themselves, and neighbours are joined by encoding a window
 around their seam again. The window grows until the tokens outside it provably stay:
 
-* Between matches of the pattern: a place with a non-space before it and an ASCII space or line break after it always ends a
-  match, whatever the rest of the text is, and the pattern never looks behind. So the window reaches to the nearest such place
-  on either side. Without one it grows to the end of the part.
+* Between matches of the pattern: seam finds places that always end a match, whatever the rest of the text is. For the patterns of public
+  byte-level vocabularies that is SEAM, a place with a non-space before it and an ASCII space or line break after it, as they never look
+  behind. The window reaches to the nearest such place on either side. Without one, or without seam, it grows to the end of the part.
 * Within one match: a sequence of BPE tokens is the encoding of its bytes if every two neighbours are the encoding of theirs.
   So the window over tokens grows until its outermost tokens are stable next to the tokens outside it.
 
@@ -28,15 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from treeq.llm.base import by_batch, table, text_or_empty
 
 LEAF_CHARS, LEAF_BYTES, WINDOW = 2048, 512, 64
-SEAM = regex.compile(r"(?<=[^\s\x00-\x20])(?=[ \n])")
+SEAM = r"(?<=[^\s\x00-\x20])(?=[ \n])"
 
 
 class TreeEncoder:
     """encode() gives what Encoding.encode_ordinary of the tiktoken library gives for these ranks and pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES, window: int = WINDOW) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES, window: int = WINDOW, seam: regex.Pattern | None = None) -> None:
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern, self.leaf_chars, self.leaf_bytes, self.window = regex.compile(pattern), leaf_chars, leaf_bytes, window
+        self.seam = seam
         self.bytes_of = {i: b for b, i in ranks.items()}
 
     def encode(self, text: str) -> list[int]:
@@ -56,25 +57,25 @@ class TreeEncoder:
         return left[:keep] + self._plain(text[a:b]) + right[skip:]
 
     def _last_seam(self, text: str, lo: int, mid: int) -> int:
-        reach = self.window
+        reach = self.window if self.seam else mid - lo
         while reach < mid - lo:
-            for m in SEAM.finditer(text, mid - reach, mid):
+            for m in self.seam.finditer(text, mid - reach, mid):
                 if m.start() > lo:
                     return m.start()
             reach *= 2
         return lo
 
     def _first_seam(self, text: str, mid: int, hi: int) -> int:
-        reach = self.window
+        reach = self.window if self.seam else hi - mid
         while reach < hi - mid:
-            for m in SEAM.finditer(text, mid + 1, mid + reach):
+            for m in self.seam.finditer(text, mid + 1, mid + reach):
                 return m.start()
             reach *= 2
         return hi
 
     def _plain(self, text: str) -> list[int]:
         """A leaf or a window. One with a very long match goes match by match, and that match by its bytes."""
-        if len(text) <= 2 * self.leaf_chars and (len(text) <= self.leaf_bytes // 4 or SEAM.search(text)):
+        if len(text) <= 2 * self.leaf_chars and (len(text) <= self.leaf_bytes // 4 or self.seam and self.seam.search(text)):
             return self.core.encode_ordinary(text)
         out: list[int] = []
         for m in self.pattern.finditer(text):
@@ -109,18 +110,18 @@ class TreeEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> TreeEncoder:
+def encoder(path: str, pattern: str, seam: str | None = None) -> TreeEncoder:
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return TreeEncoder(ranks, pattern)
+    return TreeEncoder(ranks, pattern, seam=regex.compile(seam) if seam else None)
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, digest: bool = False) -> DataFrame:
-    """id, ids array<int> and decoded binary of every row, or their digests. A map without shuffle; ranks_path exists on every machine."""
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, seam: str | None = None, digest: bool = False) -> DataFrame:
+    """id, ids array<int> and decoded binary of every row, or their digests; seam must fit the pattern. A map without shuffle; ranks_path exists on every machine."""
     kind = dict(df.dtypes)[id_col]
     schema = f"{id_col} {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary")
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = encoder(ranks_path, pattern)
+        own = encoder(ranks_path, pattern, seam)
         rows = [own.encode(t) for t in batch.column(1).to_pylist()]
         out = {id_col: batch.column(0)}
         if not digest:
@@ -137,7 +138,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, seam=SEAM, digest=True)
 
 
 QUERIES = {"op3_bpe": op3_bpe}

@@ -6,7 +6,7 @@ of random strings explains better than one of ordinary identifiers. Base spans a
 that isn't random as a whole, the segments of its parts between / . = - are that are. The models alone decide, with digits or without.
 
 The models are trained on labelled samples: values that the base patterns found (random) and other words of the same documents
-(ordinary), from at most SAMPLE_ROWS documents, and PRIOR random strings of fixed seed, which alone serve where a table has no
+(ordinary), from about SAMPLE_ROWS different texts, and PRIOR random strings of fixed seed, which alone serve where a table has no
 secret. Only their counts, at most 2 x 67 x 67, reach the driver.
 
 Null and empty texts have no spans. A span may be as long as its text. Repeated rows give repeated results; an input without rows
@@ -34,7 +34,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
-SAMPLE_ROWS, PRIOR, LEAST, MARGIN, SMOOTH = 4000, 2000, 20, 0.6, 0.5
+SAMPLE_ROWS, SAMPLE_PARTS, PRIOR, LEAST, MARGIN, SMOOTH = 4000, 16, 2000, 20, 0.6, 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST)
 #: What a run is cut into: names and values, and what stands between them.
@@ -78,20 +78,20 @@ def _ordinary_prior() -> Counter:
     return Counter(f"{a}{j}{b}" for a in stems for b in stems for j in ("_", "-", ".", ""))
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
+def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The log-likelihood ratio of each transition, random over ordinary: float64 [SIZE, SIZE].
 
-    The sample is what xxhash64 of id and text puts below SAMPLE_ROWS in expectation, twice that at most. Copies of one text
-    count once a batch.
+    The sample is the different texts that xxhash64 puts below SAMPLE_ROWS in expectation; each counts once, so the order and number of
+    partitions and copies change nothing. They are dealt to SAMPLE_PARTS tasks.
     """
     rows = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     text = text_or_empty(text_col)
-    picked = docs.where(F.pmod(F.xxhash64(id_col, text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text.alias("text")).limit(2 * SAMPLE_ROWS)
+    picked = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text.alias("text")).distinct().repartition(SAMPLE_PARTS, "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         secret, other = Counter(), Counter()
-        for t in set(batch.column(0).to_pylist()):
+        for t in batch.column(0).to_pylist():
             spans = base_spans(t)
             secret.update({t[s.start : s.end] if s.kind else ASSIGN.match(t, s.start)[2] for s in spans})
             other.update({m.group() for m in WORD.finditer(t) if not any(s.start < m.end() and m.start() < s.end for s in spans)})
@@ -175,7 +175,7 @@ def written(spans: list[Span]) -> str:
 
 def scan(docs: DataFrame, model: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, n_markov, base_sha256, spans of every row: a map without shuffle. model: of train()."""
-    model = train(docs, text_col, id_col) if model is None else model
+    model = train(docs, text_col) if model is None else model
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, id_col: str = "doc_id
 
 def redact(docs: DataFrame, model: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text", by: str = "[SECRET]") -> DataFrame:
     """docs with every secret of text_col replaced; overlapping spans become one. Null texts stay null, other columns as they are."""
-    model = train(docs, text_col, id_col) if model is None else model
+    model = train(docs, text_col) if model is None else model
     names = docs.columns
 
     def clean(text: str | None) -> str | None:
