@@ -27,11 +27,16 @@ def ids(df, condition) -> list[int]:  # noqa: ANN001
     return sorted(r[0] for r in (df if found is None else df.where(found)).collect())
 
 
+MISSING = object()  # a part of an object that is null: neither null nor anything else
+
+
 def value(row: tuple, path: str) -> object:
     d = dict(zip(("_id", "n", "s", "a", "o"), row, strict=True))
     head, _, rest = path.partition(".")
     v = d[head]
-    return v if not rest or v is None else dict(zip(("k", "t"), v, strict=True))[rest]
+    if rest and v is None:
+        return MISSING
+    return v if not rest else dict(zip(("k", "t"), v, strict=True))[rest]
 
 
 def leaf(v: object, spec: object) -> bool:
@@ -39,7 +44,7 @@ def leaf(v: object, spec: object) -> bool:
         return leaf(v, {"$eq": spec})
     out = True
     for op, x in spec.items():
-        each = [e for e in v if e is not None] if isinstance(v, list) and not isinstance(x, list) else [v]
+        each = [] if v is MISSING else [e for e in v if e is not None] if isinstance(v, list) and not isinstance(x, list) else [v]
         if op == "$eq":
             r = v is None if x is None else any(e is not None and e == x for e in each)
         elif op == "$ne":
@@ -51,6 +56,8 @@ def leaf(v: object, spec: object) -> bool:
             r = any(e is not None and e in x for e in vs) or (None in x and v is None)
         elif op == "$nin":
             r = not leaf(v, {"$in": x})
+        elif op == "$exists":
+            r = (v is not MISSING) == x
         elif op == "$not":
             r = not leaf(v, x)
         elif op == "$regex":
@@ -87,7 +94,7 @@ def test_random_conditions(frame) -> None:  # noqa: ANN001
             return {rng.choice(["$and", "$or", "$nor"]): [one(depth - 1) for _ in range(rng.randint(1, 3))]}
         path = rng.choice(["n", "s", "a", "o.k", "o.t"])
         v = rng.choice(["a", "b", "ab"]) if path in ("s", "o.t") else rng.choice([1, 2, 3, 5])
-        ops = [v, {"$ne": v}, {"$in": [v, 8 if isinstance(v, int) else "x"]}, {"$nin": [v]}, {rng.choice(["$gt", "$gte", "$lt", "$lte"]): v}, {"$not": {"$eq": v}}, {"$not": {"$lt": v}}]
+        ops = [v, {"$ne": v}, {"$in": [v, 8 if isinstance(v, int) else "x"]}, {"$nin": [v]}, {rng.choice(["$gt", "$gte", "$lt", "$lte"]): v}, {"$not": {"$eq": v}}, {"$not": {"$lt": v}}, {"$exists": True}, {"$not": {"$exists": True}}]
         if path != "a":
             ops += [None, {"$ne": None}, {"$in": [v, None]}]
         if path == "s":

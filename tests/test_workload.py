@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from treeq import workload
+from treeq import inventory, workload
 from treeq.errors import ShapeError
 from treeq.schema import model_of
 from treeq.sources.registry import Source, Sources
@@ -30,10 +30,14 @@ def comparable(rows: list[tuple]) -> list[str]:
     return sorted(str([one(v) for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(workload.QUERIES))
+ALL = workload.QUERIES | inventory.QUERIES
+ORACLE = workload.ORACLE | inventory.ORACLE
+
+
+@pytest.mark.parametrize("name", list(ALL))
 def test_against_sql(spark, db, name) -> None:  # noqa: ANN001
-    df = workload.QUERIES[name](spark, SF)
-    found = db.execute(workload.ORACLE[name])
+    df = ALL[name](spark, SF)
+    found = db.execute(ORACLE[name])
     order = [[d[0] for d in found.description].index(c) for c in df.columns]
     assert comparable([tuple(r) for r in df.collect()]) == comparable([tuple(r[i] for i in order) for r in found.fetchall()])
 

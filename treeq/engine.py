@@ -46,13 +46,34 @@ class Page:
         return self.items.join(F.broadcast(self.every.agg(F.count(F.lit(1)).alias("total"))), how="cross")
 
 
+#: Rows of a model in a federated query of the text profile.
+TEXT_FEDERATED = 10_000
+#: Words that statements begin with which only read; the last three follow a bracket.
+READS = ("select", "values", "show", "describe", "desc", "explain", "table", "from", "union", "intersect", "except")
+LITERAL = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`", re.DOTALL)
+
+
+def statement(text: str) -> str:
+    """read or write, by the statement's verb: the first word, or after WITH the first verb outside of brackets."""
+    bare = LITERAL.sub(" ", text)
+    while (flat := re.sub(r"\([^()]*\)", " ", bare)) != bare:
+        bare = flat
+    words = re.findall(r"[a-z_]+", bare.lower())
+    if words[:1] == ["with"]:
+        words = [w for w in words if w in ("select", "values", "insert", "update", "delete", "merge")]
+    return "read" if (words[0] in READS if words else "(" in text) else "write"
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, sources: dict[str, Source] | Source, policy: Policy | None = None, *, profile: str = "standard", sum_empty: str = "null", limit_rows: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, sources: dict[str, Source] | Source, policy: Policy | None = None, *, profile: str = "standard", sum_empty: str = "null", limit_rows: int | None = None, federated_rows: int | None = None, vector_rows: int | None = None) -> None:
+        """limit_rows: rows that any table may have, federated_rows: that a model of a federated query may have, vector_rows: that $near may rank. More are an error when the query runs."""
         if profile not in PROFILES:
             raise ShapeError(f"unknown profile {profile}")
         self.spark, self.registry, self.policy, self.callbacks = spark, Registry(), policy or Policy(), Callbacks()
         self.sources = Sources(spark, sources if isinstance(sources, dict) else {"default": sources}, limit_rows)
         self.profile, self.sum_empty = profile, sum_empty
+        self.federated_rows = TEXT_FEDERATED if federated_rows is None and profile == "text2query" else federated_rows
+        self.vector_rows = vector_rows
 
     # models and callbacks
 
@@ -88,7 +109,7 @@ class Engine:
                 raise ProfileBlocked("routes are not for this profile")
         c = Context.of(ctx)
         self.policy.need_context(c)
-        return Plan(self.registry, self.policy, lambda m: self.sources.scan(m, route), self.callbacks, params or {}, c, self.profile, self.sum_empty)
+        return Plan(self.registry, self.policy, lambda m: self.sources.scan(m, route), self.callbacks, params or {}, c, self.profile, self.sum_empty, lambda df, m: df if self.vector_rows is None else self.sources.capped(df, m, self.vector_rows))
 
     def query(self, gql: str, params: dict | None = None, ctx: Context | dict | None = None, *, route: dict | None = None) -> DataFrame:
         """The documents of a query, as one lazy plan."""
@@ -163,6 +184,8 @@ class Engine:
             raise ProfileBlocked("raw SQL is for internal contexts")
         if self.profile == "text2query":
             raise ProfileBlocked("raw SQL is not for this profile")
+        if statement(text) != "read":
+            raise ShapeError("raw SQL reads; models are written by their verbs")
         used = {m["name"] for m in NAMED.finditer(text) if m["name"]}
         if isinstance(params, list):
             if used:
@@ -188,7 +211,8 @@ class Engine:
 
         def scan(m: Model) -> DataFrame:
             where = chosen.get(m.name)
-            return self.sources.scan(m) if where is None else self.sources.scan(m, {"source": where.source, "database": where.database, "schema": where.schema})
+            df = self.sources.scan(m) if where is None else self.sources.scan(m, {"source": where.source, "database": where.database, "schema": where.schema})
+            return df if self.federated_rows is None else self.sources.capped(df, m, self.federated_rows)
 
         plan.scan = scan
         return plan.query(node)

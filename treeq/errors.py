@@ -41,3 +41,12 @@ class Conflict(EngineError):
     """A write that would break a key."""
 
     code = "conflict"
+
+
+#: The codes that callers of other languages are told; all else is "other".
+PUBLIC = ("permission_denied", "no_context", "profile_blocked", "not_found")
+
+
+def public_code(error: BaseException) -> str:
+    code = getattr(error, "code", "other")
+    return code if code in PUBLIC else "other"

@@ -71,6 +71,19 @@ class Scope:
             rest = rest[1:]
         return col, kind, []
 
+    def there(self, path: str) -> Column | None:
+        """Whether a value, null or not, is there; None: always. A part is there only in an object; PRESENT may name parts, and tells all of an object's that are there if it names one."""
+        head, *rest = path.split(".")
+        col, found = F.col(f"`{head}`"), []
+        if self.present:
+            names = F.col(PRESENT)
+            whole = F.array_contains(names, head)
+            found.append(F.array_contains(names, path) | (whole & ~F.exists(names, lambda x: x.startswith(f"{head}."))) if rest else whole)
+        for part in rest:
+            found.append(col.isNotNull())
+            col = col[part]
+        return functools.reduce(operator.and_, found) if found else None
+
 
 def compile_condition(condition: object, scope: Scope, special: Callable[[str, object], Column | None] = lambda k, v: None, expression: Callable[[object], Column] | None = None) -> Column | None:
     """None if everything matches. special may take a key over, as relations do; expression compiles $expr."""
@@ -119,8 +132,7 @@ def _is_operators(v: object) -> bool:
 
 def _leaf(path: str, v: object, scope: Scope, bare: bool) -> Column:
     col, kind, rest = scope.resolve(path)
-    present = F.array_contains(F.col(PRESENT), path.split(".")[0]) if scope.present else None
-    return _on(col, kind, rest, v, path, present, bare)
+    return _on(col, kind, rest, v, path, None if rest else scope.there(path), bare)
 
 
 def _on(col: Column, kind: T.DataType, rest: list[str], v: object, path: str, present: Column | None, bare: bool) -> Column:
@@ -180,7 +192,7 @@ def _test(col: Column, kind: T.DataType, v: object, path: str, present: Column |
                     raise ShapeError(f"{path}: {op} takes a value")
                 parts.append(safe(COMPARE[op](col, literal(x, kind, path))))
         elif op in ("$in", "$nin"):
-            inside = _inside(col, kind, x, path)
+            inside = _inside(col, kind, x, path, present)
             parts.append(~F.coalesce(inside, F.lit(False)) if op == "$nin" else safe(inside))
         elif op == "$exists":
             there = present if present is not None else F.lit(True)
@@ -202,7 +214,7 @@ def _equal(col: Column, kind: T.DataType, v: object, path: str, present: Column
     return col == value if bare else F.coalesce(col == value, F.lit(False))
 
 
-def _inside(col: Column, kind: T.DataType, values: object, path: str) -> Column:
+def _inside(col: Column, kind: T.DataType, values: object, path: str, present: Column | None) -> Column:
     if not isinstance(values, list):
         raise ShapeError(f"{path}: $in takes a list")
     whole = [x for x in values if x is not None]
@@ -214,7 +226,8 @@ def _inside(col: Column, kind: T.DataType, values: object, path: str) -> Column:
         found = col.isin([plain(x) for x in whole]) if whole and all(literal(x, kind, path) is not None for x in whole) else F.lit(False)
     else:
         found = col.isin([literal(x, kind, path) for x in whole])
-    return F.coalesce(found, F.lit(False)) | col.isNull() if len(whole) < len(values) else found
+    null = col.isNull() if present is None else col.isNull() & present
+    return F.coalesce(found, F.lit(False)) | null if len(whole) < len(values) else found
 
 
 def _matches(col: Column, kind: T.DataType, pattern: object, flags: str, path: str) -> Column:

@@ -11,8 +11,18 @@ from pyspark.sql import functions as F
 from treeq.errors import ShapeError
 from treeq.schema import METRICS, Field, Model
 
-#: What each kind of source can rank by itself; Spark ranks exactly for all of them.
-CAPABILITIES = {kind: {"metrics": METRICS, "maxDim": 16_000, "index": False} for kind in ("parquet", "json", "csv", "orc", "jdbc", "memory")}
+#: The longest vector that an index of another engine takes, by what it is; Spark itself ranks exactly up to MAX_DIM.
+MAX_DIM, INDEX_DIM = 16_000, {"postgresql": 2000}
+
+
+def capability(kind: str, options: dict[str, str] | None = None) -> dict:
+    """What a source can do for $near. Frames, files and tables are ranked by Spark; so are the rows of a database, which are then read whole."""
+    backend = (options or {}).get("url", "").removeprefix("jdbc:").partition(":")[0] if kind == "jdbc" else kind
+    if kind not in ("parquet", "json", "csv", "orc", "table", "memory", "jdbc") or (kind == "jdbc" and not backend):
+        return {"supported": False, "native": False, "backend": "unknown", "metrics": (), "maxDim": 0}
+    return {"supported": True, "native": False, "backend": backend, "metrics": METRICS, "maxDim": min(MAX_DIM, INDEX_DIM.get(backend, MAX_DIM))}
+
+
 AFTER = ("$or", "$nor", "$not", "$regex", "$expr")
 
 

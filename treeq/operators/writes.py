@@ -1,17 +1,21 @@
 """Writes as functions from a table to a table; the new table replaces the stored one.
 
-Parquet folders are no transactional tables: a write goes to a new folder and the folders are swapped, and one driver at a time may
-write a model. claim and compare_and_set hold a lock of this process.
+Parquet folders are no transactional tables: a write goes to a new folder and the folders are swapped. Each write, from its first read on,
+holds a lock file beside the folder, which file systems make for one program at a time; so do claim and compare_and_set, which thus are safe
+over processes. A program that dies in a write leaves the lock file, and the next write says so.
 """
 
 from __future__ import annotations
 
 import functools
 import operator
+import re
+import tempfile
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +32,11 @@ from treeq.policy import Context
 from treeq.schema import NUMBERS, Model
 
 OPERATORS = ("$set", "$inc", "$unset", "$setOnInsert")
+#: Writes of a table in memory between two cuts of its plan; rows that a removal gives back at most.
+CUT, DOCS = 8, 1000
+#: Seconds that a write waits for another program's.
+WAIT = 30.0
+STEP = re.compile(r"\{\{step\.(\d+)\._id\}\}")
 
 
 @dataclass
@@ -43,6 +52,17 @@ class Written:
     steps: list[str] = field(default_factory=list)
 
 
+def _alone(verb: Callable) -> Callable:
+    """A verb (writer, model's name, ...) that no other writer of the model runs beside."""
+
+    @functools.wraps(verb)
+    def run(self: Writer, name: str, *args: object, **named: object) -> Written:
+        with self._table(name):
+            return verb(self, name, *args, **named)
+
+    return run
+
+
 def _blank(condition: object) -> bool:
     return not condition or (isinstance(condition, dict) and all(k in ("$and", "$or", "$nor") and not v for k, v in condition.items()))
 
@@ -50,19 +70,49 @@ def _blank(condition: object) -> bool:
 class Writer:
     """now: milliseconds; new_id: an id for a model. Both can be set, so that writes can be repeated exactly."""
 
-    def __init__(self, engine: Engine, *, now: Callable[[], int] | None = None, new_id: Callable[[Model], str] | None = None) -> None:
-        self.engine = engine
+    def __init__(self, engine: Engine, *, now: Callable[[], int] | None = None, new_id: Callable[[Model], str] | None = None, links: str = "primary") -> None:
+        if links not in ("primary", "all"):
+            raise ShapeError("links is primary or all")
+        self.engine, self.links = engine, links
+        self.nested: dict[str, int] = {}
         self.now = now or (lambda: int(time.time() * 1000))
         self.new_id = new_id or (lambda m: f"{m.id_prefix or ''}{uuid.uuid4().hex}")
-        self.lock = threading.Lock()
+        self.lock, self.own = threading.RLock(), set()
 
     # tables
 
+    @contextmanager
+    def _table(self, name: str) -> Iterator[None]:
+        """Keeps other writers of a parquet model out: those of this process wait, those of others end in Conflict after WAIT seconds."""
+        with self.lock:
+            model = self.engine.registry[name]
+            where = self.engine.sources.links(model)[0]
+            s = self.engine.sources.source(where.source)
+            if s.kind != "parquet" or name in self.own:
+                yield
+                return
+            base = f"{self.engine.sources.place(model, s, where)}.lock"
+            jvm, conf = self.engine.spark.sparkContext._jvm, self.engine.spark.sparkContext._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(base)
+            fs, until = path.getFileSystem(conf), time.monotonic() + WAIT
+            while not fs.createNewFile(path):
+                if time.monotonic() > until:
+                    raise Conflict(f"{name} is being written by another program; if none runs, remove {base}")
+                time.sleep(0.05)
+            self.own.add(name)
+            try:
+                yield
+            finally:
+                self.own.discard(name)
+                fs.delete(path, False)
+
     def _model(self, name: str, ctx: Context | None, action: str) -> Model:
         model = self.engine.registry[name]
         self.engine.policy.check_write(model, ctx, action)
         if len({w.source for w in model.locations if w.role in (None, "primary")}) > 1:
             raise ShapeError(f"{name} is stored in several sources, and can't be written as one")
+        if self.links == "all" and any(w.role == "replica" for w in model.locations):
+            raise ShapeError(f"{name} has replicas, and writes go to the primary only; ask for links='primary'")
         return model
 
     def _store(self, model: Model, df: DataFrame) -> None:
@@ -72,7 +122,8 @@ class Writer:
             raise ShapeError(f"{model.name} has columns that are expressions, and can't be written")
         out = df.select(*(F.col(f"`{c}`").alias(model.physical.get(c, c)) for c in df.columns))
         if s.kind == "memory":
-            s.frames[model.collection] = out
+            self.nested[model.collection] = n = self.nested.get(model.collection, 0) + 1
+            s.frames[model.collection] = self._once(out) if n % CUT == 0 else out
             return
         if s.kind != "parquet":
             raise ShapeError(f"sources of kind {s.kind} can't be written")
@@ -84,10 +135,25 @@ class Writer:
         target = next((p for p in (f"{base}.parquet", base) if fs.exists(path(p))), base)
         new, old = f"{base}-{uuid.uuid4().hex}.new", f"{base}-{uuid.uuid4().hex}.old"
         out.write.parquet(new)
-        if fs.exists(path(target)):
-            fs.rename(path(target), path(old))
-        fs.rename(path(new), path(target))
-        fs.delete(path(old), True)
+        there = fs.exists(path(target))
+        if there and not fs.rename(path(target), path(old)):
+            fs.delete(path(new), True)
+            raise Conflict(f"{target} can't be replaced; it is as it was")
+        if not fs.rename(path(new), path(target)):
+            back = not there or fs.rename(path(old), path(target))
+            raise Conflict(f"{new} can't be moved to {target}; " + ("that is as it was" if back else f"the rows before are in {old}"))
+        if there:
+            fs.delete(path(old), True)
+
+    def _once(self, df: DataFrame) -> DataFrame:
+        """df, computed once and cut from its plan, in the folder of checkpoints; without one, on a cluster, df as it is."""
+        sc = self.engine.spark.sparkContext
+        if not sc.getCheckpointDir():
+            found = self.engine.spark.conf.get("spark.checkpoint.dir", None)
+            if not found and sc.master != "local" and not sc.master.startswith("local["):
+                return df
+            sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="treeq-"))
+        return df.checkpoint()
 
     def _present(self, df: DataFrame) -> bool:
         return PRESENT in df.columns
@@ -155,6 +221,7 @@ class Writer:
     def insert(self, name: str, data: dict, ctx: Context | dict | None = None) -> Written:
         return self.insert_many(name, [data], ctx)
 
+    @_alone
     def insert_many(self, name: str, data: list[dict], ctx: Context | dict | None = None, *, upsert_by_id: bool = False) -> Written:
         ctx = Context.of(ctx)
         model, now = self._model(name, ctx, "insert"), self.now()
@@ -231,9 +298,10 @@ class Writer:
     def _mark(self, model: Model, rows: DataFrame, condition: object) -> tuple[DataFrame, Column]:
         """The whole table with a column that says which rows are meant, by their ids."""
         table = self.engine.table(model.name)
-        hit = rows.select(F.col("_id").alias("__hit")).distinct()
+        hit = self._once(rows.select(F.col("_id").alias("__hit")).distinct())  # judged once, so that what is counted is what is stored
         return table.join(hit, table["_id"] == hit["__hit"], "left"), F.col("__hit").isNotNull()
 
+    @_alone
     def update_many(self, name: str, condition: object, data: dict, ctx: Context | dict | None = None) -> Written:
         ctx = Context.of(ctx)
         if _blank(condition):
@@ -248,6 +316,7 @@ class Writer:
         self._store(model, self.updated(marked, model, match, spec, now).drop("__hit"))
         return Written(matched=counts[0], modified=counts[1])
 
+    @_alone
     def update(self, name: str, condition: object, data: dict, ctx: Context | dict | None = None) -> Written:
         """The first match by id; before and after are returned."""
         ctx = Context.of(ctx)
@@ -271,6 +340,7 @@ class Writer:
         self._fire(model, "update", after, before, changed, now, out)
         return out
 
+    @_alone
     def upsert(self, name: str, condition: dict, data: dict, ctx: Context | dict | None = None) -> Written:
         """Updates the first match; without one, inserts a document of the condition's equal values, the data and the defaults."""
         ctx = Context.of(ctx)
@@ -296,6 +366,7 @@ class Writer:
 
     # removals
 
+    @_alone
     def remove(self, name: str, condition: object, ctx: Context | dict | None = None) -> Written:
         """Matching rows go to the archive, if the model has one, and then away. Done twice, it does nothing the second time."""
         ctx = Context.of(ctx)
@@ -305,19 +376,23 @@ class Writer:
         marked, match = self._mark(model, self._matching(model, condition, ctx, "remove"), condition)
         gone = marked.where(match).drop("__hit")
         listed = model.triggers.get("remove")
-        docs = [r.asDict(recursive=True) for r in gone.collect()] if listed else []
-        n = len(docs) if listed else gone.count()
+        gone = self._once(gone) if listed else gone  # triggers see the rows after the table has gone
+        n = gone.count()
         if n and model.archive and f"{name}Deleted" in self.engine.registry:
             shadow = self.engine.registry[f"{name}Deleted"]
             old = self.engine.table(shadow.name)
             fresh = gone.join(old.select("_id"), "_id", "left_anti").withColumn("deletedAt", F.lit(now).cast("double"))
             self._store(shadow, old.unionByName(fresh, allowMissingColumns=True))
         self._store(model, marked.where(~match).drop("__hit"))
-        out = Written(matched=n, deleted=n, docs=docs)
-        for d in docs:
+        out = Written(matched=n, deleted=n)
+        for r in gone.toLocalIterator() if listed else ():
+            d = r.asDict(recursive=True)
+            if len(out.docs) < DOCS:
+                out.docs.append(d)
             self._fire(model, "remove", {}, d, set(), now, out)
         return out
 
+    @_alone
     def delete_many(self, name: str, condition: object, ctx: Context | dict | None = None) -> Written:
         """Matching rows go away, without an archive."""
         ctx = Context.of(ctx)
@@ -332,12 +407,30 @@ class Writer:
     # several steps
 
     def mutation(self, name: str, data: dict, ctx: Context | dict | None = None) -> Written:
-        """A document with its relations: the parent first, then a child of a one relation as an upsert and each child of a many relation by itself."""
+        """A document with its relations: the parent first, then a child of a one relation as an upsert and each child of a many relation by itself.
+
+        A value {{step.N._id}} is the id of the document that step N made, counted from 0 in this order; later steps are not there yet.
+        """
+        return self._steps(name, data, ctx, [])
+
+    def _filled(self, value: object, ids: list) -> object:
+        if isinstance(value, dict):
+            return {k: self._filled(v, ids) for k, v in value.items()}
+        if isinstance(value, list):
+            return [self._filled(v, ids) for v in value]
+        if isinstance(value, str) and (m := STEP.fullmatch(value)):
+            if int(m[1]) >= len(ids):
+                raise ShapeError(f"{value} names a step that is not done yet")
+            return ids[int(m[1])]
+        return value
+
+    def _steps(self, name: str, data: dict, ctx: Context | dict | None, ids: list) -> Written:
         model = self.engine.registry[name]
-        own = {k: v for k, v in data.items() if k not in model.relations}
+        own = self._filled({k: v for k, v in data.items() if k not in model.relations}, ids)
         key = self.upsert_key(model, own)
         out = self.upsert(name, key, own, ctx) if key else self.insert(name, own, ctx)
         root = out.docs[0]
+        ids.append(root["_id"])
         out.steps.append(f"{name}:{'update' if out.matched else 'insert'}")
         for rel, given in data.items():
             if rel not in model.relations or given is None:
@@ -348,13 +441,15 @@ class Writer:
             for child in given if r.many else [given]:
                 linked = {**child, r.foreign: root[r.local]}
                 if not r.many and "_id" not in child and r.foreign != "_id":
-                    plain_child = {k: v for k, v in linked.items() if k not in self.engine.registry[r.model].relations}
+                    plain_child = self._filled({k: v for k, v in linked.items() if k not in self.engine.registry[r.model].relations}, ids)
                     made = self.upsert(r.model, {r.foreign: root[r.local]}, plain_child, ctx)
+                    ids.append(made.docs[0]["_id"])
                     out.steps.append(f"{r.model}:{'update' if made.matched else 'insert'}")
                 else:
-                    out.steps += self.mutation(r.model, linked, ctx).steps
+                    out.steps += self._steps(r.model, linked, ctx, ids).steps
         return out
 
+    @_alone
     def claim(self, name: str, condition: object, data: dict, ctx: Context | dict | None = None, *, sort: object = None, limit: int = 1) -> Written:
         """Takes the first rows of an order and marks them. One process at a time."""
         if self.engine.profile == "text2query":
@@ -362,29 +457,28 @@ class Writer:
         if not isinstance(limit, int) or limit < 1:
             raise ShapeError("a claim takes one row at least")
         ctx = Context.of(ctx)
-        with self.lock:
-            model, now = self._model(name, ctx, "update"), self.now()
-            spec = self._data(model, ctx, data)
-            plan = self.engine._plan({}, ctx, None)
-            rows = self._matching(model, condition, ctx, "update")
-            rows, by = plan._sort_columns(rows, model, plan._order(sort) or [("_id", 1)])
-            ids = [r["_id"] for r in rows.orderBy(*by).limit(limit).select("_id").collect()]
-            if not ids:
-                return Written()
-            table, key = self.engine.table(name), F.col("_id").isin(ids)
-            new = self.updated(table, model, key, spec, now)
-            docs = {d["_id"]: d.asDict(recursive=True) for d in new.where(key).collect()}
-            self._store(model, new)
-            return Written(len(ids), len(ids), docs=[docs[i] for i in ids])
+        model, now = self._model(name, ctx, "update"), self.now()
+        spec = self._data(model, ctx, data)
+        plan = self.engine._plan({}, ctx, None)
+        rows = self._matching(model, condition, ctx, "update")
+        rows, by = plan._sort_columns(rows, model, plan._order(sort) or [("_id", 1)])
+        ids = [r["_id"] for r in rows.orderBy(*by).limit(limit).select("_id").collect()]
+        if not ids:
+            return Written()
+        table, key = self.engine.table(name), F.col("_id").isin(ids)
+        new = self.updated(table, model, key, spec, now)
+        docs = {d["_id"]: d.asDict(recursive=True) for d in new.where(key).collect()}
+        self._store(model, new)
+        return Written(len(ids), len(ids), docs=[docs[i] for i in ids])
 
+    @_alone
     def compare_and_set(self, name: str, condition: object, expected: dict, data: dict, ctx: Context | dict | None = None) -> Written:
         """Updates the rows of a condition only if their fields are still as expected."""
         if self.engine.profile == "text2query":
             raise ProfileBlocked("compare_and_set is not for this profile")
         if not expected or names(expected) != list(expected) or any(k.startswith("$") for k in expected):
             raise ShapeError("expected is an object of equal values")
-        with self.lock:
-            return self.update_many(name, {"$and": [condition, expected]}, data, ctx)
+        return self.update_many(name, {"$and": [condition, expected]}, data, ctx)
 
     def command(self, command: dict) -> Written:
         """Writing commands as they are, over collections by name; their rows are given whole, without defaults and triggers."""

@@ -25,7 +25,7 @@ from treeq.operators import semijoin as S
 from treeq.operators.relations import DOC, ID, KEY
 from treeq.plans.gql import Node, flatten_objects
 from treeq.policy import Context, Policy
-from treeq.schema import ZEROS, Compute, Field, Model, Registry, Relation
+from treeq.schema import MISSING, ZEROS, Compute, Field, Model, Registry, Relation
 
 MAX_DEPTH, MAX_PAGED_DEPTH = 10, 4
 TEXT_ROWS, TEXT_DEPTH = 1000, 3
@@ -46,6 +46,7 @@ class Plan:
     ctx: Context | None = None
     profile: str = "standard"
     sum_empty: str = "null"
+    ranked: Callable[[DataFrame, Model], DataFrame] = lambda df, _: df
     counter: itertools.count = field(default_factory=itertools.count)
 
     # rows
@@ -173,6 +174,7 @@ class Plan:
             return self._group(df, model, node, group, having, sort, skip, limit)
         order = self._order(sort)
         if near is not None:
+            df = self.ranked(df, model)
             df = df.withColumn("_score", vector.score(F.col(f"`{near.field.name}`"), near)).where(F.col("_score").isNotNull())
             df = df.orderBy(F.desc("_score"), F.asc("_id")).limit(near.limit)
             df = self.where(df, model, late)
@@ -187,7 +189,7 @@ class Plan:
             by = by or [F.asc("_id")]
             df = self._page(df.orderBy(*by), skip, limit)
         bound = near.limit if near is not None else limit
-        out = self.shape(df, model, node, few=bound is not None and bound <= FEW)
+        out = self.shape(df, model, node, few=bound is not None and bound <= FEW, some=bool(names(condition)))
         return self._final(out, model, node, by)
 
     @staticmethod
@@ -255,11 +257,11 @@ class Plan:
 
     # shapes
 
-    def shape(self, df: DataFrame, model: Model, node: Node, *, few: bool = False) -> DataFrame:
-        """df with the relations and computed columns of node. few: df is a page of FEW rows at most, or what hangs on one."""
+    def shape(self, df: DataFrame, model: Model, node: Node, *, few: bool = False, some: bool = False) -> DataFrame:
+        """df with the relations and computed columns of node. few: df is a page of FEW rows at most, or what hangs on one; some: it was filtered, so that not all children are needed."""
         page = df
         for r in node.relations:
-            df = self._nest(df, model, r, page if few else None)
+            df = self._nest(df, model, r, page if few or some else None, few=few)
         wanted = [c for c in map(model.computes.get, node.fields) if c is not None and self.policy.readable(model, c.name, c.read, self.ctx)]
         over = [c for c in wanted if c.agg and c.agg[1].partition(".")[0] in model.relations]
         if over:
@@ -285,18 +287,20 @@ class Plan:
         keys = page.select((F.explode(f"`{r.local}`") if R.is_array(page, r.local) else F.col(f"`{r.local}`")).alias("__parent"))
         return rows.join(keys, F.col(f"`{r.foreign}`") == F.col("__parent"), "left_semi")
 
-    def _nest(self, df: DataFrame, model: Model, node: Node, page: DataFrame | None = None) -> DataFrame:
-        """page: the parents, if they are few."""
+    def _nest(self, df: DataFrame, model: Model, node: Node, page: DataFrame | None = None, *, few: bool = False) -> DataFrame:
+        """page: the parents, if they are few or filtered."""
         r, child = self.relation(model, node.name)
         rows = self.where(self.rows(child), child, node.value("$condition", self.params))
         if page is not None:
             rows = self._of_page(rows, r, page)
-        rows = self.shape(rows, child, node, few=page is not None)
+        rows = self.shape(rows, child, node, few=few, some=page is not None)
         order = self._order(node.value("$sort", self.params))
         by = None
         if order:
             rows, by = self._sort_columns(rows, child, order, tie=False)
         skip, limit = self._count(node, "$skip"), self._count(node, "$limit")
+        if self.profile == "text2query" and limit is not None:
+            limit = min(limit, TEXT_ROWS)
         doc = F.struct(*self._columns(rows, child, node))
         kept = rows.select(F.col(f"`{r.foreign}`").alias(KEY), F.col("_id").alias(ID), doc.alias(DOC), *(c for c in rows.columns if c.startswith("__sort"))).where(F.col(KEY).isNotNull())
         return R.nest(df, r, kept, ordered=by, skip=skip, limit=limit)
@@ -331,11 +335,13 @@ class Plan:
         return [*out, *(F.col(f"`{r.name}`") for r in node.relations)]
 
     def _with_default(self, df: DataFrame, f: Field) -> Column:
-        """A missing value is replaced by the declared default; a stored null stays. Tables tell the two apart by __present."""
-        col = F.col(f"`{f.name}`")
-        if f.default is None or "__present" not in df.columns:
+        """A missing value is replaced by the declared default; a stored null stays. Tables tell the two apart by __present, and what no table column holds is missing."""
+        col, kind = F.col(f"`{f.name}`"), df.schema[f.name].dataType
+        if f.default is None:
             return col
-        return F.when(F.array_contains("__present", f.name), col).otherwise(F.lit(f.default).cast(df.schema[f.name].dataType))
+        if df.schema[f.name].metadata.get(MISSING):
+            return F.lit(f.default).cast(kind)
+        return F.when(F.array_contains("__present", f.name), col).otherwise(F.lit(f.default).cast(kind)) if "__present" in df.columns else col
 
     def _sub(self, col: Column, f: Field, paths: list[str], what: str) -> Column:
         """An object of only these parts; parts that are missing get their type's zero."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import json
+import operator
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,10 @@ from treeq.operators.group import aggregate
 from treeq.schema import AGGREGATES
 
 FORBIDDEN = ("$out", "$merge")
+#: Rows of one branch of $facet, and of a $lookup list that all documents share.
+LIST_ROWS = 100_000
+#: In the stages of a $lookup: columns with the values of the outer documents that a row belongs to, and its place among their rows.
+OUTER, PLACE = "__outer", "__place"
 Tables = Callable[[str], DataFrame]
 
 
@@ -39,6 +45,23 @@ def compiler(df: DataFrame, variables: dict) -> Compiler:
     return Compiler(Scope(df.schema), {k: (F.col(c), kind) for k, (c, kind) in variables.items()})
 
 
+def outer(df: DataFrame) -> list[str]:
+    """The columns that tell which outer documents a row is for; [] outside of $lookup. With them, order and pages are by outer document."""
+    return [c for c in df.columns if c.startswith(OUTER)]
+
+
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(OUTER) or c == PLACE]
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    if PLACE in df.columns:
+        return df
+    if "_id" not in df.columns:
+        raise ShapeError("$skip and $limit in a $lookup follow $sort, or rows with an _id")
+    return df.withColumn(PLACE, F.row_number().over(Window.partitionBy(*outer(df)).orderBy("_id")))
+
+
 def match(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
     found = compile_condition(spec, Scope(df.schema), expression=compiler(df, variables).truth)
     return df if found is None else df.where(found)
@@ -57,6 +80,8 @@ def sort(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFr
         by.append(col.desc_nulls_last() if d < 0 else col.asc_nulls_first())
     if "_id" in df.columns and all(p != "_id" for p, _ in pairs) and not isinstance(df.schema["_id"].dataType, (T.MapType, T.VariantType)):
         by.append(F.asc("_id"))
+    if of := outer(df):
+        return df.withColumn(PLACE, F.row_number().over(Window.partitionBy(*of).orderBy(*by)))
     return df.orderBy(*by)
 
 
@@ -67,11 +92,15 @@ def _count(spec: object, name: str) -> int:
 
 
 def skip(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
-    return df.offset(_count(spec, "$skip"))
+    n = _count(spec, "$skip")
+    if outer(df):
+        return _placed(df).where(F.col(PLACE) > n).withColumn(PLACE, F.col(PLACE) - n)
+    return df.offset(n)
 
 
 def limit(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
-    return df.limit(_count(spec, "$limit"))
+    n = _count(spec, "$limit")
+    return _placed(df).where(F.col(PLACE) <= n) if outer(df) else df.limit(n)
 
 
 def project(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
@@ -108,7 +137,7 @@ def project(df: DataFrame, spec: object, tables: Tables, variables: dict) -> Dat
         else:
             Scope(df.schema).resolve(head)
             out.append((_only(F.col(f"`{head}`"), df.schema[head].dataType, paths) if paths and head not in shown else F.col(f"`{head}`")).alias(head))
-    return df.select(*out)
+    return df.select(*out, *_carried(df))
 
 
 def _only(col: Column, kind: T.DataType, paths: list[str]) -> Column:
@@ -168,7 +197,7 @@ def replace_root(df: DataFrame, spec: object, tables: Tables, variables: dict) -
     col, kind = compiler(df, variables).typed(spec["newRoot"])
     if not isinstance(kind, T.StructType):
         raise ShapeError("newRoot is a document")
-    return df.select(F.when(col.isNull(), F.raise_error(F.lit("newRoot is not a document")).cast(kind)).otherwise(col).alias("__root")).select("__root.*")
+    return df.select(F.when(col.isNull(), F.raise_error(F.lit("newRoot is not a document")).cast(kind)).otherwise(col).alias("__root"), *_carried(df)).select("__root.*", *_carried(df))
 
 
 def unwind(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
@@ -176,13 +205,17 @@ def unwind(df: DataFrame, spec: object, tables: Tables, variables: dict) -> Data
     if not isinstance(spec, dict) or set(spec) - {"path", "preserveNullAndEmptyArrays"} or not str(spec.get("path", "")).startswith("$"):
         raise ShapeError("$unwind takes a path that begins with $")
     name, keep = spec["path"][1:], bool(spec.get("preserveNullAndEmptyArrays"))
-    _, kind, _ = Scope(df.schema).resolve(name)
-    if "." in name:
-        raise ShapeError("$unwind takes a field at the top")
+    col, kind, below = Scope(df.schema).resolve(name)
+    if below:
+        raise ShapeError(f"{name}: $unwind goes through one array at a time")
     if not isinstance(kind, T.ArrayType):
-        return df if keep else df.where(F.col(f"`{name}`").isNotNull())
+        return df if keep else df.where(col.isNotNull())
     explode = F.explode_outer if keep else F.explode
-    return df.select(*(explode(f"`{c}`").alias(c) if c == name else F.col(f"`{c}`") for c in df.columns))
+    head, _, rest = name.partition(".")
+    if not rest:
+        return df.select(*(explode(col).alias(c) if c == name else F.col(f"`{c}`") for c in df.columns))
+    made = df.select("*", explode(col).alias("__one"))
+    return made.withColumn(head, F.col(f"`{head}`").withField(rest, F.col("__one"))).drop("__one")
 
 
 def group(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
@@ -199,43 +232,123 @@ def group(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataF
         value = F.lit(1) if op == "$count" or (op == "$sum" and e == 1) else c.column(e)
         aggs.append(aggregate(op, value).alias(alias))
     aggs = aggs or [F.count(F.lit(1)).alias("__n")]
-    if spec["_id"] is None:
+    if spec["_id"] is None and not outer(df):
         return df.agg(*aggs).withColumn("_id", F.lit(None).cast("string")).select("_id", *(a for a in spec if a != "_id"))
-    return df.groupBy(c.column(spec["_id"]).alias("_id")).agg(*aggs).select("_id", *(a for a in spec if a != "_id"))
+    key = F.lit(None).cast("string") if spec["_id"] is None else c.column(spec["_id"])
+    return df.groupBy(key.alias("_id"), *outer(df)).agg(*aggs).select("_id", *(a for a in spec if a != "_id"), *outer(df))
+
+
+def _listed(df: DataFrame, name: str) -> DataFrame:
+    """One row: all rows as one array, in their order; an error beyond LIST_ROWS."""
+    made = df.limit(LIST_ROWS + 1).agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(name))
+    many = F.raise_error(F.lit(f"{name} has more than {LIST_ROWS} rows")).cast(made.schema[name].dataType)
+    return made.select(F.when(F.size(name) > LIST_ROWS, many).otherwise(F.col(f"`{name}`")).alias(name))
 
 
 def facet(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
     """One row, an array of rows for each branch: meant for branches that end in few rows, as all of a branch is one value."""
     if not isinstance(spec, dict) or not spec:
         raise ShapeError("$facet names a branch")
+    if outer(df):
+        raise ShapeError("$facet doesn't stand in a $lookup")
     out = None
     for name, stages in spec.items():
         if any("$facet" in s for s in stages):
             raise ShapeError("$facet doesn't nest")
-        branch = run(df, stages, tables, variables)
-        one = branch.agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in branch.columns))).alias(name))
+        one = _listed(run(df, stages, tables, variables), name)
         out = one if out is None else out.join(F.broadcast(one), how="cross")  # one row each
     return out
 
 
 def lookup(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
-    """The short form; arrays of keys are exploded, a null key meets nothing. With a pipeline, its stages run over the other table before it is joined."""
-    if not isinstance(spec, dict) or not {"from", "localField", "foreignField", "as"} <= set(spec) <= {"from", "localField", "foreignField", "as", "pipeline"}:
-        raise ShapeError("$lookup takes from, localField, foreignField, as and pipeline")
-    other = run(tables(spec["from"]), spec.get("pipeline", []), tables, variables)
-    local, kind, _ = Scope(df.schema).resolve(spec["localField"])
-    foreign, fkind, _ = Scope(other.schema).resolve(spec["foreignField"])
-    name = spec["as"]
-    doc = F.struct(*(F.col(f"`{c}`") for c in other.columns))
-    side = other.select((F.explode(F.array_distinct(foreign)) if isinstance(fkind, T.ArrayType) else foreign).alias("__key"), doc.alias("__doc"), *([F.col("_id").alias("__id")] if "_id" in other.columns else [F.monotonically_increasing_id().alias("__id")]))
+    """For each document the documents of another table, as an array.
+
+    Short form: those of which a key is a key of the document; arrays are exploded, and null meets null and missing. Long form: let names
+    values of the document, and the first stage, a $match, holds an equality of a field with each way to tell documents apart.
+    The stages run for each document by itself: rows are joined with the different values first, then sorted, paged and grouped by them.
+    """
+    if not isinstance(spec, dict) or not {"from", "as"} <= set(spec) <= {"from", "as", "localField", "foreignField", "let", "pipeline"}:
+        raise ShapeError("$lookup takes from and as, localField and foreignField, or let and pipeline")
+    stages = spec.get("pipeline", [])
+    if "localField" in spec and "let" in spec or "localField" not in spec and "pipeline" not in spec:
+        raise ShapeError("$lookup takes either localField or let and pipeline")
+    if "localField" in spec:
+        return _by_field(df, spec, stages, tables, variables)
+    let, name = spec.get("let", {}), spec["as"]
+    own = {n: (f"{OUTER}{len(outer(df)) + i}", *compiler(df, variables).typed(e)) for i, (n, e) in enumerate(let.items())}
+    pairs, rest = _equalities(stages[0]["$match"], set(let)) if stages and set(stages[0]) == {"$match"} else ([], None)
+    if not pairs:
+        if any(f"$${n}" in json.dumps(stages, default=str) for n in own) or outer(df):
+            raise ShapeError("$lookup compares a field with each variable that it uses: {$expr: {$eq: ['$field', '$$name']}}")
+        return df.join(F.broadcast(_listed(run(tables(spec["from"]), stages, tables, variables), name)), how="cross")  # one row
+    parents = df.withColumns({c: col for c, col, _ in own.values()})
+    keys = outer(parents)
+    other = tables(spec["from"])
+    fields = compiler(other, {})
+    # One row for each field and combination of values.
+    met = other.join(parents.select(*keys).distinct(), functools.reduce(operator.and_, [fields.column(path).eqNullSafe(F.col(own[n][0])) for path, n in pairs]))
+    inner = variables | {n: (c, kind) for n, (c, _, kind) in own.items()}
+    met = run(met, [{"$match": rest}, *stages[1:]], tables, inner)
+    return _attached(parents, met, [(k, k) for k in keys], name).drop(*(c for c, _, _ in own.values()))
+
+
+def _equalities(spec: object, names: set[str]) -> tuple[list[tuple[str, str]], dict]:
+    """The equalities of a field with a variable that a $match asks for, and what it asks for besides."""
+    pairs: list[tuple[str, str]] = []
+    if not isinstance(spec, dict):
+        raise ShapeError("a condition is an object")
+    rest: list[dict] = []
+    for k, v in spec.items():
+        if k == "$and" and isinstance(v, list):
+            for c in v:
+                found, left = _equalities(c, names)
+                pairs += found
+                rest += [left] if left else []
+            continue
+        parts = v["$and"] if k == "$expr" and isinstance(v, dict) and set(v) == {"$and"} else [v]
+        for e in parts if k == "$expr" else []:
+            sides = e["$eq"] if isinstance(e, dict) and set(e) == {"$eq"} and isinstance(e["$eq"], list) and len(e["$eq"]) == 2 else []
+            variable = [x for x in sides if isinstance(x, str) and x.startswith("$$") and x[2:] in names]
+            path = [x for x in sides if isinstance(x, str) and x.startswith("$") and not x.startswith("$$")]
+            if variable and path:
+                pairs.append((path[0], variable[0][2:]))
+            else:
+                rest.append({"$expr": e})
+        if k != "$expr":
+            rest.append({k: v})
+    return pairs, {"$and": rest} if rest else {}
+
+
+def _by_field(df: DataFrame, spec: dict, stages: list, tables: Tables, variables: dict) -> DataFrame:
+    other, key = tables(spec["from"]), f"{OUTER}{len(outer(df))}"
+    local, kind, below = Scope(df.schema).resolve(spec["localField"])
+    foreign, fkind, fbelow = Scope(other.schema).resolve(spec.get("foreignField", spec["localField"]))
+    if below or fbelow:
+        raise ShapeError("$lookup joins on fields that are not in arrays of objects")
+    # An empty array of the document's looks for null, one of the other table's is found by nothing.
+    each = lambda col: F.explode(F.when(col.isNull(), F.array(col[0])).otherwise(F.array_distinct(col)))
+    other = other.select("*", (each(foreign) if isinstance(fkind, T.ArrayType) else foreign).alias("__key"))
     if isinstance(kind, T.ArrayType):
-        keys = df.select(F.col("_id").alias("__pid"), F.explode(F.array_distinct(local)).alias("__pkey"))
-        side = keys.join(side, F.col("__pkey") == F.col("__key")).select(F.col("__pid").alias("__key"), "__doc", "__id").distinct()
-        local = F.col("_id")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("__id", "__doc"))), lambda x: x["__doc"])
-    made = side.groupBy("__key").agg(listed.alias("__list"))
-    joined = df.withColumn("__local", local).join(made, F.col("__local") == F.col("__key"), "left")
-    return joined.withColumn(name, F.coalesce("__list", F.array().cast(joined.schema["__list"].dataType))).drop("__local", "__key", "__list")
+        if outer(df):
+            raise ShapeError("a $lookup in a $lookup joins on a field that is no array")
+        keys = df.select(F.col("_id").alias(key), each(F.when(F.size(local) > 0, local)).alias("__local"))
+        met = other.join(keys, F.col("__key").eqNullSafe(F.col("__local"))).drop("__key", "__local")
+        met = met.dropDuplicates([key, "_id"]) if isinstance(fkind, T.ArrayType) else met
+        return _attached(df, run(met, stages, tables, variables), [("_id", key)], spec["as"])
+    wanted = df.select(local.alias("__local"))
+    met = other.join(wanted, F.col("__key").eqNullSafe(F.col("__local")), "left_semi").withColumnRenamed("__key", key)
+    name = f"__own{len(outer(df))}"
+    return _attached(df.withColumn(name, local), run(met, stages, tables, variables), [(name, key)], spec["as"]).drop(name)
+
+
+def _attached(df: DataFrame, rows: DataFrame, on: list[tuple[str, str]], name: str) -> DataFrame:
+    """df with the array of its rows: those whose columns are null-safe equal to its own."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in _carried(rows)))
+    place = F.col(PLACE) if PLACE in rows.columns else F.col("_id") if "_id" in rows.columns else F.monotonically_increasing_id()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), doc.alias("d")))), lambda x: x["d"])
+    made = rows.groupBy(*(F.col(k).alias(f"__on{i}") for i, (_, k) in enumerate(on))).agg(listed.alias("__list"))
+    joined = df.join(made, functools.reduce(operator.and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"__on{i}")) for i, (c, _) in enumerate(on)]), "left")
+    return joined.withColumn(name, F.coalesce("__list", F.array().cast(made.schema["__list"].dataType))).drop("__list", *(f"__on{i}" for i in range(len(on))))
 
 
 STAGES = {"$match": match, "$sort": sort, "$skip": skip, "$limit": limit, "$project": project, "$addFields": add_fields, "$set": add_fields, "$replaceRoot": replace_root, "$unwind": unwind, "$group": group, "$facet": facet, "$lookup": lookup}

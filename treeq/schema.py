@@ -18,6 +18,8 @@ MODEL_KEYS = {"name", "collection", "idPrefix", "idType", "fields", "relations",
 FIELD_KEYS = {"type", "required", "default", "read", "write", "fields", "items", "strategy", "dim", "metric"}
 RELATION_KEYS = {"model", "type", "localField", "foreignField", "read"}
 COMPUTE_KEYS = {"fn", "asyncFn", "agg", "depends", "read", "type"}
+#: Marks, in a column's metadata, that no table holds it.
+MISSING = "treeq.missing"
 AGGREGATES = ("$count", "$sum", "$avg", "$min", "$max")
 INLINE = ("$size", "$countDistinct", "$sum", "$avg", "$min", "$max")
 

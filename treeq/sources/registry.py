@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeq.errors import NotFound, ShapeError
-from treeq.schema import Location, Model
+from treeq.schema import MISSING, Location, Model
 
 FILES = ("parquet", "json", "csv", "orc")
 KINDS = (*FILES, "jdbc", "table", "memory")
@@ -81,12 +81,19 @@ class Sources:
             name = ".".join(p for p in (where.schema or where.database, model.collection) if p)
             return self.spark.read.format("jdbc").options(**s.options).option("dbtable", name).load()
         base = self.place(model, s, where)
-        for path in (f"{base}.{s.kind}", base):
+        for path in (f"{base}.{s.kind}", base, *self.left_over(base)):
             if self.exists(path):
                 reader = self.spark.read.format(s.kind).options(**s.options)
                 return (reader if s.kind in ("parquet", "orc", "avro") else reader.schema(self.stored_schema(model))).load(path)
         return None
 
+    def left_over(self, base: str) -> list[str]:
+        """The rows before a write that was cut off between its two renames."""
+        jvm = self.spark.sparkContext._jvm
+        found = jvm.org.apache.hadoop.fs.Path(f"{base}-*.old")
+        fs = found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [str(x.getPath()) for x in fs.globStatus(found) or []][:1]
+
     def exists(self, path: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -113,13 +120,19 @@ class Sources:
             elif f.name == "_id":
                 raise ShapeError(f"{model.name} has no column for _id")
             else:
-                out.append(F.lit(None).cast(f.dataType).alias(f.name))
+                out.append(F.lit(None).cast(f.dataType).alias(f.name, metadata={MISSING: True}))
         if "__present" in df.columns:
             out.append(F.col("__present"))
         found = df.select(*out)
-        if self.limit_rows is not None and found.limit(self.limit_rows + 1).count() > self.limit_rows:
-            raise ShapeError(f"{model.name} has more than {self.limit_rows} rows")
-        return found
+        return found if self.limit_rows is None else self.capped(found, model, self.limit_rows)
+
+    @staticmethod
+    def capped(df: DataFrame, model: Model, most: int) -> DataFrame:
+        """df, of which a row beyond most is an error when the query runs; nothing is counted before."""
+        first = df.limit(most + 1)
+        size = first.select(F.count(F.lit(1)).over(Window.partitionBy()).alias("__rows"), "*")
+        many = F.raise_error(F.lit(f"{model.name} has more than {most} rows")).cast("boolean")
+        return size.where(F.when(F.col("__rows") > most, many).otherwise(F.lit(True))).drop("__rows")
 
 
 def load_directory(files: dict[str, dict], sources: dict[str, dict]) -> list[dict]:

@@ -115,9 +115,9 @@ def filter_ne_null_exists(spark: SparkSession, sf: str) -> DataFrame:
     return ask(spark, sf, "Order($condition:@c,$group:@g){ n }", c={"status": {"$ne": "F"}, "custId": {"$ne": None, "$exists": True}}, g={"agg": {"n": {"$count": "*"}}})
 
 
-@query("SELECT p_partkey AS _id, p_name AS name FROM part WHERE regexp_matches(p_name, '(^|[^0-9])1.*5', 'i')")
+@query("SELECT p_partkey AS _id, p_name AS name FROM part WHERE regexp_matches(p_name, '^SMALL .*(G|T)$', 'i')")
 def filter_regex_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return ask(spark, sf, "Part($condition:@c){ name }", c={"name": {"$regex": "(^|[^0-9])1.*5", "$options": "i"}})
+    return ask(spark, sf, "Part($condition:@c){ name }", c={"name": {"$regex": "^SMALL .*(G|T)$", "$options": "i"}})
 
 
 @query("SELECT vec_id AS _id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.35)) > 0")
@@ -125,9 +125,9 @@ def filter_array_any(spark: SparkSession, sf: str) -> DataFrame:
     return ask(spark, sf, "Embedding($condition:@c){ _id }", c={"embedding": {"$gt": 0.35}})
 
 
-@query("SELECT p_partkey AS _id FROM part WHERE list_contains(string_split(p_type, ' '), string_split(p_type, ' ')[1]) AND list_has_any([p_size, p_size % 7], [3, 5])")
+@query("SELECT p_partkey AS _id FROM part WHERE list_contains(string_split(p_type, ' '), 'ECONOMY') AND list_has_any([p_size, p_size % 7], [3, 5])")
 def filter_array_in(spark: SparkSession, sf: str) -> DataFrame:
-    return ask(spark, sf, "Tagged($condition:@c){ _id }", c={"sizes": {"$in": [3, 5]}})
+    return ask(spark, sf, "Tagged($condition:@c){ _id }", c={"words": "ECONOMY", "sizes": {"$in": [3, 5]}})
 
 
 @query("SELECT event_id AS _id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 10 AND 20")
@@ -173,8 +173,8 @@ def count_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT EXISTS (SELECT 1 FROM customer WHERE c_acctbal < -900) AS yes, EXISTS (SELECT 1 FROM customer WHERE c_acctbal < -90000) AS no")
 def exists(spark: SparkSession, sf: str) -> DataFrame:
     e = engine(spark, sf)
-    some = lambda least: e.matching("Customer", {"acctBal": {"$lt": least}}).limit(1).agg(F.count(F.lit(1)) > 0)
-    return some(-900).toDF("yes").join(some(-90000).toDF("no"), how="cross")  # one row each
+    some = lambda least: e.exists("Customer", {"acctBal": {"$lt": least}})
+    return spark.createDataFrame([(some(-900), some(-90000))], "yes boolean, no boolean")
 
 
 @query("SELECT event_id AS _id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events ORDER BY 2 DESC NULLS LAST, event_id LIMIT 30")
@@ -409,11 +409,11 @@ def facet_two_branches(spark: SparkSession, sf: str) -> DataFrame:
     return part("status").unionByName(part("priority"))
 
 
-@query("SELECT o_orderkey AS _id, coalesce(nullif(CASE WHEN o_totalprice > 250000 THEN 'big' ELSE 'small' END, 'x'), 'none') AS size, o_orderstatus IN ('F', 'P') AS closed FROM orders")
+@query("SELECT o_orderkey AS _id, CASE WHEN o_orderstatus = 'F' THEN 'big' ELSE 'small' END AS size, o_orderstatus IN ('F', 'P') AS closed, (o_orderstatus = 'F')::BIGINT AS n, coalesce(nullif(o_orderpriority, ''), 'none') AS priority FROM orders")
 def add_fields_cond(spark: SparkSession, sf: str) -> DataFrame:
-    p = [{"$match": {}}, {"$addFields": {"big": {"$filter": {"input": ["$totalPrice"], "as": "p", "cond": {"$in": ["$$p", ["$totalPrice"]]}}}}}, {"$addFields": {"closed": {"$in": ["$status", ["F", "P"]]}}}, {"$project": {"closed": 1, "totalPrice": 1}}]
-    df = engine(spark, sf).command({"kind": "aggregate", "collection": "orders", "pipeline": p})
-    return df.select("_id", F.when(F.col("totalPrice") > 250000, "big").otherwise("small").alias("size"), "closed")
+    closed = {"$filter": {"input": ["$status", "x"], "as": "s", "cond": {"$in": ["$$s", ["F"]]}}}
+    p = [{"$addFields": {"closed": {"$in": ["$status", ["F", "P"]]}, "found": closed}}, {"$addFields": {"n": {"$size": "$found"}}}, {"$project": {"size": {"$cond": [{"$eq": ["$n", 1]}, "big", "small"]}, "closed": 1, "n": 1, "priority": {"$ifNull": ["$priority", "none"]}}}]
+    return engine(spark, sf).command({"kind": "aggregate", "collection": "orders", "pipeline": p}).withColumn("n", F.col("n").cast("long"))
 
 
 @query("SELECT event_type AS kind, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE value > 50")
