@@ -169,3 +169,42 @@ def test_template_is_the_host_s(spark, monkeypatch) -> None:  # noqa: ANN001
     got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: f"Own {i}" for i in range(71)} | {100 + i: "" for i in range(6)} | {200 + i: f"Copied article\n{i}" for i in range(9)}
     assert got == want
+
+
+def site(rng: random.Random, host: str, n: int) -> list[tuple]:
+    """Pages of a host, of random layout: named or not, with menus, repeated notes, stray elements, empty pages and copies."""
+    named, tables = rng.random() < 0.5, rng.random() < 0.3
+    words = lambda k: " ".join(rng.choice(["sun", "moon", "star", "sky", "tree"]) + str(rng.randint(0, 99)) for _ in range(k))
+    box = lambda inner, name: f"<table><tr><td>{inner}</td></tr></table>" if tables else f"<div class='{name}'>{inner}</div>" if named else f"<div>{inner}</div>"
+    out = []
+    for i in range(n):
+        links = "".join(f"<li><a href='/{k}'>{words(1)}</a>" for k in range(6))
+        note = "".join("<div><p>Read on</p><p>Tagged note</p></div>" for _ in range(i % 4))
+        odd = rng.choice(["", "", "<div class='notice-of-theorem search'><p>Theorem</p></div>", "<div class='ad banner'>Buy</div>", "<form><p>Mail</p></form>", "<header><h2>Head of it</h2></header>"])
+        body = f"<h1>{words(4)}</h1>" + "".join(f"<p>{words(rng.randint(3, 30))}" for _ in range(rng.randint(1, 5))) + note + odd
+        page = f"<html><body>{box(f'<ul>{links}</ul>', 'menu')}{box('<p>Always the same</p>', 'top')}{box(body, 'social-history')}{box(f'<p>{words(3)}', 'end') if i % 3 else ''}<footer>{words(2)}</footer></body></html>"
+        out.append((None if rng.random() < 0.02 else len(out), f"http://{host}/{i}", rng.choices([page, "", None, "<p>maintenance</p>", out[-1][2] if out else page], [20, 1, 1, 1, 1])[0]))
+    return out
+
+
+def test_slots_against_plain_loops(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(extraction, "PART_ROWS", 25)
+    rng = random.Random(11)
+    sites = [site(rng, f"h{k}.example", rng.choice([3, 9, 30, 60])) for k in range(10)]
+    want = sorted(((i, u, t) for rows in sites for (i, u, _), t in zip(rows, extraction.extract_group([x or "" for _, _, x in rows]), strict=True)), key=str)
+    assert len({t for _, _, t in want}) > 100
+    pages = [r for rows in sites for r in rows]
+    rng.shuffle(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 7, 61):
+        assert sorted((tuple(r) for r in extraction.extract(df.repartition(parts)).collect()), key=str) == want
+
+
+def test_names_are_not_needed() -> None:
+    """Sites without telling names, with names that mislead, with notes that repeat, and with an odd page."""
+    page = lambda i, tag, name: f"<body><div><ul><li><a href='/'>Home {i}</a></ul></div><{tag} class='{name}'><h1>Essay {i}</h1><p>Words of the essay number {i} that go on and on{' and on' * 9}.</p>{'<div><p>Read on</p><p>Tagged note</p></div>' * (i % 5 + 1)}</{tag}><div><p>Foot {i}</p></div></body>"
+    for tag, name in (("div", ""), ("article", ""), ("div", "social-history"), ("div", "sidebar")):
+        got = extraction.extract_group([*(page(i, tag, name) for i in range(20)), "<body><h1>maintenance</h1></body>"])
+        assert got == [*(f"Essay {i}\nWords of the essay number {i} that go on and on{' and on' * 9}." for i in range(20)), "maintenance"]
+    theorem = lambda i: f"<article><h1>T{i}</h1><p>Own words {i}.</p><div class='notice-of-theorem search'><p>Theorem {i}</p></div></article>"
+    assert extraction.extract_group([theorem(i) for i in range(20)])[3] == "T3\nOwn words 3.\nTheorem 3" == extraction.extract_group([theorem(3)])[0]
