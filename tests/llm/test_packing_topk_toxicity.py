@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -146,6 +150,39 @@ def test_held_out_accuracy(spark) -> None:  # noqa: ANN001
     assert again.toxic == model.toxic and (again.weights == model.weights).all()  # held-out labels change nothing
 
 
+def test_scores_against_fresh_compressors(spark) -> None:  # noqa: ANN001
+    """Each word compressed by itself with dictionaries that are loaded anew, no cache, and the formula written out."""
+    rows = corpus(300, 3)
+    model = toxicity.fit([(Counter(toxicity.words_of(t)), y) for _, t, y in rows[:200]])
+    made = [zstandard.ZstdCompressionDict(d) for d in (model.ordinary, model.toxic)]
+    options = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=13, search_log=4, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(text: str, k: int) -> int:
+        return len(zstandard.ZstdCompressor(dict_data=made[k], compression_params=options).compress(text.encode()))
+
+    def by_hand(text: str) -> float:
+        odds = []
+        for w in re.findall(r"[a-z]+", text.lower()):
+            a, b = (length(f"{toxicity.CARRIER}{w} ", k) - length(toxicity.CARRIER, k) for k in (0, 1))
+            odds.append(model.odds[(min(len(w), toxicity.LONGEST - 1) * 32 + min(max(a, 0), 31)) * 16 + min(max(a - b + 4, 0), 15)])
+        top = [*sorted(odds, reverse=True)[:4], 0, 0, 0, 0]
+        x = [top[0], sum(top[1:4]) / 3, math.log1p(200 * sum(max(o, 0) for o in odds) / max(len(odds), 1)), math.log1p(len(odds)) / 4, 1]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows[200:215]], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(abs(got[i] - by_hand(t)) < 1e-5 for i, t, _ in rows[200:215])
+
+
+def test_texts_of_repeated_ids(spark) -> None:  # noqa: ANN001
+    """The same text of an id counts, however the rows are dealt."""
+    rows = [(i % 300, t, y) for i, t, y in corpus(400, 5)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:300]], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    models = [toxicity.train(docs.repartition(n), labels) for n in (1, 5)]
+    assert models[0].toxic == models[1].toxic and (models[0].weights == models[1].weights).all()
+
+
 def test_without_labels(spark) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (4, "e")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -162,7 +199,7 @@ def test_long_runs_are_read_whole() -> None:
     at = [run.index(p.removeprefix("+")) for p in parts[1:-1]]
     assert at[0] == 0 and at[-1] + len(parts[-2]) - 1 == 203 and all(0 < b - a <= 3 for a, b in zip(at, at[1:], strict=False))
     rows = corpus(900, 1)
-    score = toxicity.Scorer(toxicity.fit([(toxicity.words_of(t), y) for _, t, y in rows]))
+    score = toxicity.Scorer(toxicity.fit([(Counter(toxicity.words_of(t)), y) for _, t, y in rows]))
     clean = ["".join(t.split())[:160] for _, t, y in corpus(60, 2) if not y]
     found = [score(x + BAD[k % 4] + x[:15]) >= 0.7 for k, x in enumerate(clean)]
     assert np.mean(found) > 0.9 and np.mean([score(x) >= 0.7 for x in clean]) < 0.1
