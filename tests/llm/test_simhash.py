@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,3 +113,38 @@ def test_pairs_beside_the_first_of_a_bucket(spark, monkeypatch, block) -> None:
     got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
     assert len(set(root)) < len(texts) - 25
+
+
+def test_whole_texts_by_hand(spark) -> None:  # noqa: ANN001
+    """From texts of many shingles to components, bit by bit and pair by pair."""
+    rng = random.Random(8)
+    rows: list[tuple] = []
+    for base in range(40):
+        ws = [rng.choice(["Alpha", "beta", "GAMMA", "délta", "epsilon", "zeta"]) + str(rng.randint(0, 30)) for _ in range(rng.choice([2, 5, 40, 300]))]
+        for k in range(4):
+            other = list(ws)
+            if k > 1:
+                other[rng.randrange(len(other))] = "changed"
+            rows.append((base * 10 + k, rng.choice([" ", "  ", "\n", "\t "]).join(other).upper() if k == 1 else " ".join(other)))
+    rows += [(900, None), (901, " \n"), (None, rows[0][1])]
+
+    def by_hand(text: str) -> int:
+        words = [w for w in re.split("[\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [by_hand(t) for _, t in rows]
+    near = [[k for k, y in enumerate(prints) if (x ^ y).bit_count() <= 2] for x in prints]
+    want = []
+    for start, (i, _) in enumerate(rows):
+        seen, todo = {start}, [start]
+        while todo:
+            for k in near[todo.pop()]:
+                if k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+        want.append((i, f"{prints[start]:016x}", min(rows[k][0] for k in seen if rows[k][0] is not None)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import cmath
 import hashlib
+import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
 import public_tokenizers
-import regex
 import pytest
+import regex
 
 from treeq.llm import bpe, media, secrets
 
@@ -139,6 +142,46 @@ def test_secret_model_is_the_same_for_any_partitions(spark, monkeypatch) -> None
     assert (secrets.train(more.repartition(3)) == secrets.train(more.repartition(11))).all()
 
 
+def features_by_hand(payload: bytes) -> tuple[list[list[float]], list[tuple[int, int]]]:
+    """Resampling, log-mel energies and active spans by their formulas, one value after the other, in double precision."""
+    x = [(b - 128) / 128 for b in payload]
+    m, rate = media.TAPS, media.RATE // 2
+    taps = [math.sin(math.pi * (n - (m - 1) / 2) / 2) / (math.pi * (n - (m - 1) / 2)) * (0.54 - 0.46 * math.cos(2 * math.pi * n / (m - 1))) for n in range(m)]
+    taps = [t / sum(taps) for t in taps]
+    y = [sum(taps[j] * x[2 * k - j] for j in range(m) if 0 <= 2 * k - j < len(x)) for k in range(-(-len(x) // 2))]
+    frame, hop, mels = media.FRAME, media.HOP, media.MELS
+    frames = max(1, 1 + -(-max(0, len(y) - frame) // hop))
+    y += [0.0] * ((frames - 1) * hop + frame - len(y))
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * k / (mels + 1) / 2595) - 1) * frame / rate for k in range(mels + 2)]
+    bank = [[max(0.0, min((b - edges[k]) / (edges[k + 1] - edges[k]), (edges[k + 2] - b) / (edges[k + 2] - edges[k + 1]))) + 1e-9 for k in range(mels)] for b in range(frame // 2 + 1)]
+    out = []
+    for f in range(frames):
+        part = [y[f * hop + n] * (0.5 - 0.5 * math.cos(2 * math.pi * n / (frame - 1))) for n in range(frame)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * b * n / frame) for n, v in enumerate(part))) ** 2 for b in range(frame // 2 + 1)]
+        out.append([math.log(sum(p * row[k] for p, row in zip(power, bank, strict=True)) + 1e-6) for k in range(mels)])
+    db = [sum(row) / mels * 10 / math.log(10) for row in out]
+    floor, spans, k = statistics.median(db), [], 0
+    while k < frames:
+        end = k
+        while end < frames and db[end] > floor + media.CLOSE_DB:
+            end += 1
+        if end > k and max(db[k:end]) > floor + media.OPEN_DB:
+            spans.append((k * hop * 1000 // rate, end * hop * 1000 // rate))
+        k = end + 1
+    return out, spans
+
+
+def test_features_against_formulas() -> None:
+    rng = random.Random(6)
+    quiet = bytes(128 + rng.randint(-1, 1) for _ in range(576 * 3))
+    for payload in (media.padded(b""), media.padded("some text, é and more".encode() * 20), quiet + bytes(rng.randrange(256) for _ in range(576)) + quiet):
+        got, (mel, spans) = media.features(payload), features_by_hand(payload)
+        flat = got.patches.reshape(-1, media.MELS)[: len(mel)]
+        assert np.abs(flat - np.array(mel)).max() < 2e-3 and got.active == spans
+        assert np.allclose(got.bands, np.mean(mel, axis=0), atol=2e-3)
+
+
 # BPE
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
