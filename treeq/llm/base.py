@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -88,10 +88,15 @@ def new_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
-def text_or_empty(column: str = "text") -> F.Column:
+def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def by_batch(df: DataFrame, f: Callable[..., dict], schema: str, *, slice_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow with f: RecordBatch -> columns by name. Batches are cut so that f sees about slice_bytes at once, one row at least."""
     names = [x.name for x in df.sparkSession.createDataFrame([], schema).schema.fields]

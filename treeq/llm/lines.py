@@ -12,12 +12,10 @@ document below all others. Lines of any length and number are allowed. An input
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.base import new_path, remove, shared_dir, stored, table, text_or_empty
+from treeq.llm.base import new_path, remove, shared_dir, stored, table, text_or_empty, with_value
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,11 +91,6 @@ def without(lines: Column, places: Column) -> Column:
     return F.array_join(F.flatten(with_value(cuts, between)), "\n")
 
 
-def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), where value is made once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def long_lines(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, at, h): the lines whose key is long enough to be judged; at: their places in the text.
 
