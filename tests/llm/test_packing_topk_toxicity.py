@@ -79,6 +79,54 @@ def test_pieces(spark, parts) -> None:  # noqa: ANN001
     assert packing.pack(df.where("false"), PATH).count() == 0
 
 
+def placed_by_hand(sizes: list[int], length: int, windows: int) -> tuple[list[list], list[list]]:
+    """Full sequences in the order they are emitted, and what is open at the end, as lists of (document, start, size)."""
+    out: list[list] = []
+    open_: list[dict] = []  # pieces, and when the window last changed
+    for doc, size in enumerate(sizes):
+        start = 0
+        while size - start >= length:
+            out.append([(doc, start, length)])
+            start += length
+        rest = size - start
+        if not rest:
+            continue
+        room = lambda w: length - sum(n for _, _, n in w["pieces"])
+        best = min((w for w in open_ if room(w) >= rest), key=lambda w: (room(w), w["at"]), default=None)
+        if best is None and len(open_) == windows:
+            full = min(open_, key=lambda w: (room(w), w["at"]))
+            gap = room(full)
+            out.append([*full["pieces"], (doc, start, gap)])
+            open_.remove(full)
+            start, rest = start + gap, rest - gap
+        if best is None:
+            best = {"pieces": []}
+            open_.append(best)
+        best["pieces"].append((doc, start, rest))
+        best["at"] = doc
+        if room(best) == 0:
+            out.append(best["pieces"])
+            open_.remove(best)
+    return out, [w["pieces"] for w in sorted(open_, key=lambda w: (room(w), w["at"]))] if open_ else []
+
+
+def test_placement_by_hand() -> None:
+    rng = random.Random(12)
+    for length, windows in ((64, 1), (64, 3), (100, 8)):
+        sizes = [rng.choice([1, 3, 20, 40, 63, 64, 65, 99, 250]) if rng.random() < 0.5 else rng.randint(1, 130) for _ in range(600)]
+        packer, made = packing.Packer(length, windows), []
+        for doc, n in enumerate(sizes):
+            made += packer.add(doc, np.arange(n), 0, n)
+        full = packer.sequences
+        made += packer.finish(False)
+        got: list[list] = [[] for _ in range(packer.sequences)]
+        for key, start, ids, n, sequence, offset in made:
+            assert n == sizes[key] and offset == sum(x[2] for x in got[sequence]) and ids.tolist() == list(range(start, start + len(ids)))
+            got[sequence].append((key, start, len(ids)))
+        want, left = placed_by_hand(sizes, length, windows)
+        assert got[:full] == want and got[full:] == left
+
+
 # top-k
 
 
