@@ -557,7 +557,7 @@ def rejections(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-@query(values("what, outcome", ("no context", "NoContext"), ("route", "ProfileBlocked"), ("array condition", "ProfileBlocked"), ("nested condition", "ProfileBlocked"), ("deep", "ShapeError"), ("claim", "ProfileBlocked"), ("triggers", "ProfileBlocked"), ("raw sql", "ProfileBlocked"), ("plain", "ok")))
+@query(values("what, outcome", ("no context", "NoContext"), ("route", "ProfileBlocked"), ("array condition", "ProfileBlocked"), ("nested condition", "ProfileBlocked"), ("condition below or", "ProfileBlocked"), ("condition of a relation", "ProfileBlocked"), ("object sort", "ProfileBlocked"), ("relation sort", "ok"), ("deep", "ShapeError"), ("claim", "ProfileBlocked"), ("triggers", "ProfileBlocked"), ("raw sql", "ProfileBlocked"), ("plain", "ok")))
 def text_profile(spark: SparkSession, sf: str) -> DataFrame:
     e, ctx = engine(spark, sf, profile="text2query"), {"internal": True}
     w = Writer(e, now=lambda: 1)
@@ -566,6 +566,10 @@ def text_profile(spark: SparkSession, sf: str) -> DataFrame:
         "route": lambda: e.query("Order{ status }", {}, ctx, route={"database": "x"}),
         "array condition": lambda: e.query("Tagged($condition:@c){ _id }", {"c": {"words": "x"}}, ctx),
         "nested condition": lambda: e.query("Event($condition:@c){ _id }", {"c": {"props.k": 1}}, ctx),
+        "condition below or": lambda: e.query("Event($condition:@c){ _id }", {"c": {"$or": [{"value": 1}, {"props.k": 1}]}}, ctx),
+        "condition of a relation": lambda: e.query("Customer{ events($condition:@c){ value } }", {"c": {"props": {"k": 1}}}, ctx),
+        "object sort": lambda: e.query("Event($sort:@s){ _id }", {"s": {"props.k": 1}}, ctx),
+        "relation sort": lambda: e.query("Order($sort:@s){ _id }", {"s": {"customer.name": 1}}, ctx),
         "deep": lambda: e.query("Region{ nations{ customers{ orders{ items{ quantity } } } } }", {}, ctx),
         "claim": lambda: w.claim("Region", {"_id": 1}, {"name": "x"}, ctx),
         "triggers": lambda: e.register({"name": "T", "fields": {"a": "string"}, "triggers": {"insert": [{"fnRef": "f"}]}}),

@@ -248,6 +248,8 @@ class Plan:
             else:
                 if head in model.computes and head not in model.fields:
                     raise ShapeError(f"{path} is computed after sorting")
+                if rest and self.profile == "text2query":
+                    raise ProfileBlocked(f"{path}: sorting by parts of objects is not for this profile")
                 col, kind, below = Scope(df.schema).resolve(path)
                 if below or isinstance(kind, (T.StructType, T.MapType, T.VariantType)):
                     raise ShapeError(f"nothing sorts by {path}")
