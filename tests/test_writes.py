@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
 
 import pytest
 
+from treeq import inventory
 from treeq.engine import Engine
 from treeq.errors import Conflict, EngineError, PermissionDenied, ShapeError
+from treeq.operators import writes
 from treeq.operators.writes import Writer
 from treeq.policy import Context, Policy
 from treeq.sources.registry import Source
@@ -169,3 +172,45 @@ def test_parquet_store(spark, tmp_path) -> None:  # noqa: ANN001
     w.remove("Post", {"_id": "1"})
     assert rows(e, "Post", "_id") == [("2",)] and rows(e, "PostDeleted", "_id") == [("1",)]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["posts", "posts_deleted"]
+
+
+def test_refused_before_the_lock(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    """The lock is another program's, so a write that came to it would end in Conflict."""
+    monkeypatch.setattr(writes, "WAIT", 0.0)
+    (tmp_path / "posts.lock").touch()
+    note, post = {**NOTE, "read": ["boss"]}, {**POST, "accessKeys": {"code": {"list": "codes"}}}
+    e = Engine(spark, Source("parquet", str(tmp_path)), Policy(deny_write_roles=("guest",)))
+    e.register(post, note, COVER)
+    w, guest, listless = Writer(e), {"roles": ["guest"]}, {"userId": "u"}
+    clerk = {"userId": "u", "codes": ["k"]}
+    for ctx in (guest, listless):
+        for refused in (
+            lambda: w.insert("Post", {"title": "a", "code": "k"}, ctx),
+            lambda: w.update("Post", {"_id": "1"}, {"title": "b"}, ctx),
+            lambda: w.update_many("Post", {"_id": "1"}, {"title": "b"}, ctx),
+            lambda: w.upsert("Post", {"_id": "1"}, {"title": "b"}, ctx),
+            lambda: w.remove("Post", {"_id": "1"}, ctx),
+            lambda: w.delete_many("Post", {"_id": "1"}, ctx),
+        ):
+            with pytest.raises(PermissionDenied):
+                refused()
+    for hidden in ({"notes": {"body": "x"}}, {"$or": [{"title": "a"}, {"notes": {"$exists": True}}]}):
+        with pytest.raises(PermissionDenied):
+            w.delete_many("Post", hidden, clerk)
+    for bad in (lambda: w.insert("Post", {"nope": 1}), lambda: w.update_many("Post", {"_id": "1"}, {"nope": 1}), lambda: w.remove("Post", {}), lambda: w.update("Post", {"$or": []}, {"title": "b"})):
+        with pytest.raises(ShapeError):
+            bad()
+    with pytest.raises(Conflict):
+        w.insert("Post", {"title": "a", "code": "k"}, clerk)
+    with pytest.raises(Conflict):
+        w.delete_many("Post", {"cover": {"$exists": True}}, clerk)
+    assert [p.name for p in tmp_path.iterdir()] == ["posts.lock"]
+
+
+def test_policy_gates_need_no_lock(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(writes, "WAIT", 0.0)
+    for t in ("region", "nation"):
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    (tmp_path / "region.lock").touch()
+    found = dict(tuple(r) for r in inventory.QUERIES["policy_gates"](spark, str(tmp_path)).collect())
+    assert (found["deny write role"], found["write role"]) == ("PermissionDenied", "PermissionDenied")

@@ -2,7 +2,8 @@
 
 Parquet folders are no transactional tables: a write goes to a new folder and the folders are swapped. Each write, from its first read on,
 holds a lock file beside the folder, which file systems make for one program at a time; so do claim and compare_and_set, which thus are safe
-over processes. A program that dies in a write leaves the lock file, and the next write says so.
+over processes. What is refused without a read is refused before the lock: it makes no file and waits for no one. A program that dies in a write
+leaves the lock file, and the next write says so.
 """
 
 from __future__ import annotations
@@ -221,7 +222,6 @@ class Writer:
     def insert(self, name: str, data: dict, ctx: Context | dict | None = None) -> Written:
         return self.insert_many(name, [data], ctx)
 
-    @_alone
     def insert_many(self, name: str, data: list[dict], ctx: Context | dict | None = None, *, upsert_by_id: bool = False) -> Written:
         ctx = Context.of(ctx)
         model, now = self._model(name, ctx, "insert"), self.now()
@@ -229,20 +229,21 @@ class Writer:
         ids = [d["_id"] for d in docs]
         if len(set(ids)) < len(ids):
             raise Conflict("two documents have one id")
-        table = self.engine.table(name)
-        new = self._frame(model, docs, table)
-        if upsert_by_id:
-            kept = table.join(F.broadcast(new.select("_id")), "_id", "left_anti")
-        else:
-            if not table.join(F.broadcast(new.select("_id")), "_id", "left_semi").isEmpty():
-                raise Conflict(f"{name} has a document of this id")
-            self._check_unique(model, table, docs)
-            kept = table
-        self._store(model, kept.unionByName(new))
-        out = Written(inserted=len(docs), docs=docs)
-        for d in docs:
-            self._fire(model, "insert", d, {}, set(d), now, out)
-        return out
+        with self._table(name):
+            table = self.engine.table(name)
+            new = self._frame(model, docs, table)
+            if upsert_by_id:
+                kept = table.join(F.broadcast(new.select("_id")), "_id", "left_anti")
+            else:
+                if not table.join(F.broadcast(new.select("_id")), "_id", "left_semi").isEmpty():
+                    raise Conflict(f"{name} has a document of this id")
+                self._check_unique(model, table, docs)
+                kept = table
+            self._store(model, kept.unionByName(new))
+            out = Written(inserted=len(docs), docs=docs)
+            for d in docs:
+                self._fire(model, "insert", d, {}, set(d), now, out)
+            return out
 
     def _check_unique(self, model: Model, table: DataFrame, docs: list[dict]) -> None:
         for keys in model.unique:
@@ -289,6 +290,12 @@ class Writer:
             out.append(F.when(match, F.array_except(F.array_union(PRESENT, strings(there)), strings(gone))).otherwise(F.col(PRESENT)).alias(PRESENT))
         return df.select(*out)
 
+    def _check_matching(self, model: Model, condition: object, ctx: Context | None, action: str) -> None:
+        """What _matching refuses whatever the rows are; it reads nothing, so it comes before the lock."""
+        plan = self.engine._plan({}, ctx, None)
+        self.engine.policy.row_filter(model, ctx, model.struct(), action)
+        plan.check_where(model, condition)
+
     def _matching(self, model: Model, condition: object, ctx: Context | None, action: str) -> DataFrame:
         """The rows of a condition that may be changed. Relation predicates are allowed: the rows come out as ids."""
         plan = self.engine._plan({}, ctx, None)
@@ -301,29 +308,33 @@ class Writer:
         hit = self._once(rows.select(F.col("_id").alias("__hit")).distinct())  # judged once, so that what is counted is what is stored
         return table.join(hit, table["_id"] == hit["__hit"], "left"), F.col("__hit").isNotNull()
 
-    @_alone
     def update_many(self, name: str, condition: object, data: dict, ctx: Context | dict | None = None) -> Written:
         ctx = Context.of(ctx)
         if _blank(condition):
             raise ShapeError("a write of many rows has a condition")
-        model, now = self._model(name, ctx, "update"), self.now()
+        model = self._model(name, ctx, "update")
         spec = self._data(model, ctx, data)
-        marked, match = self._mark(model, self._matching(model, condition, ctx, "update"), condition)
-        fields = {p.split(".")[0] for op in spec for p in spec[op]}
-        unstamped = self.updated(marked.withColumns({f"__old_{f}": F.col(f"`{f}`") for f in fields}), model, match, spec, now)
-        changed = functools.reduce(operator.or_, [~F.col(f"`{f}`").eqNullSafe(F.col(f"`__old_{f}`")) for f in fields], F.lit(False))
-        counts = unstamped.where(F.col("__hit").isNotNull()).agg(F.count(F.lit(1)), F.count_if(changed)).first()
-        self._store(model, self.updated(marked, model, match, spec, now).drop("__hit"))
-        return Written(matched=counts[0], modified=counts[1])
+        self._check_matching(model, condition, ctx, "update")
+        with self._table(name):
+            now = self.now()
+            marked, match = self._mark(model, self._matching(model, condition, ctx, "update"), condition)
+            fields = {p.split(".")[0] for op in spec for p in spec[op]}
+            unstamped = self.updated(marked.withColumns({f"__old_{f}": F.col(f"`{f}`") for f in fields}), model, match, spec, now)
+            changed = functools.reduce(operator.or_, [~F.col(f"`{f}`").eqNullSafe(F.col(f"`__old_{f}`")) for f in fields], F.lit(False))
+            counts = unstamped.where(F.col("__hit").isNotNull()).agg(F.count(F.lit(1)), F.count_if(changed)).first()
+            self._store(model, self.updated(marked, model, match, spec, now).drop("__hit"))
+            return Written(matched=counts[0], modified=counts[1])
 
-    @_alone
     def update(self, name: str, condition: object, data: dict, ctx: Context | dict | None = None) -> Written:
         """The first match by id; before and after are returned."""
         ctx = Context.of(ctx)
         if _blank(condition):
             raise ShapeError("an update has a condition")
         model = self._model(name, ctx, "update")
-        return self._update_first(model, condition, self._data(model, ctx, data), ctx, self.now())
+        spec = self._data(model, ctx, data)
+        self._check_matching(model, condition, ctx, "update")
+        with self._table(name):
+            return self._update_first(model, condition, spec, ctx, self.now())
 
     def _update_first(self, model: Model, condition: object, spec: dict, ctx: Context | None, now: int) -> Written:
         first = self._matching(model, condition, ctx, "update").orderBy("_id").limit(1).collect()
@@ -340,22 +351,23 @@ class Writer:
         self._fire(model, "update", after, before, changed, now, out)
         return out
 
-    @_alone
     def upsert(self, name: str, condition: dict, data: dict, ctx: Context | dict | None = None) -> Written:
         """Updates the first match; without one, inserts a document of the condition's equal values, the data and the defaults."""
         ctx = Context.of(ctx)
         if _blank(condition):
             raise ShapeError("an upsert has a condition")
-        model, now = self._model(name, ctx, "update"), self.now()
+        model = self._model(name, ctx, "update")
         spec = self._data(model, ctx, {k: v for k, v in data.items() if k != "_id"})
-        found = self._update_first(model, condition, {k: v for k, v in spec.items() if k != "$setOnInsert"}, ctx, now)
-        if found.matched:
-            return found
-        seed = {k: v for k, v in _equalities(condition).items() if k == "_id" or k in model.fields}
-        if "_id" in data:
-            seed["_id"] = data["_id"]
-        doc = seed | spec.get("$setOnInsert", {}) | spec.get("$inc", {}) | spec.get("$set", {})
-        return self.insert(name, {k: v for k, v in doc.items() if k not in spec.get("$unset", {})}, ctx)
+        self._check_matching(model, condition, ctx, "update")
+        with self._table(name):
+            found = self._update_first(model, condition, {k: v for k, v in spec.items() if k != "$setOnInsert"}, ctx, self.now())
+            if found.matched:
+                return found
+            seed = {k: v for k, v in _equalities(condition).items() if k == "_id" or k in model.fields}
+            if "_id" in data:
+                seed["_id"] = data["_id"]
+            doc = seed | spec.get("$setOnInsert", {}) | spec.get("$inc", {}) | spec.get("$set", {})
+            return self.insert(name, {k: v for k, v in doc.items() if k not in spec.get("$unset", {})}, ctx)
 
     def upsert_key(self, model: Model, data: dict) -> dict | None:
         """The condition that finds a document again: its id, or any unique key that it has whole."""
@@ -366,43 +378,46 @@ class Writer:
 
     # removals
 
-    @_alone
     def remove(self, name: str, condition: object, ctx: Context | dict | None = None) -> Written:
         """Matching rows go to the archive, if the model has one, and then away. Done twice, it does nothing the second time."""
         ctx = Context.of(ctx)
         if _blank(condition):
             raise ShapeError("a removal has a condition")
-        model, now = self._model(name, ctx, "remove"), self.now()
-        marked, match = self._mark(model, self._matching(model, condition, ctx, "remove"), condition)
-        gone = marked.where(match).drop("__hit")
-        listed = model.triggers.get("remove")
-        gone = self._once(gone) if listed else gone  # triggers see the rows after the table has gone
-        n = gone.count()
-        if n and model.archive and f"{name}Deleted" in self.engine.registry:
-            shadow = self.engine.registry[f"{name}Deleted"]
-            old = self.engine.table(shadow.name)
-            fresh = gone.join(old.select("_id"), "_id", "left_anti").withColumn("deletedAt", F.lit(now).cast("double"))
-            self._store(shadow, old.unionByName(fresh, allowMissingColumns=True))
-        self._store(model, marked.where(~match).drop("__hit"))
-        out = Written(matched=n, deleted=n)
-        for r in gone.toLocalIterator() if listed else ():
-            d = r.asDict(recursive=True)
-            if len(out.docs) < DOCS:
-                out.docs.append(d)
-            self._fire(model, "remove", {}, d, set(), now, out)
-        return out
+        model = self._model(name, ctx, "remove")
+        self._check_matching(model, condition, ctx, "remove")
+        with self._table(name):
+            now = self.now()
+            marked, match = self._mark(model, self._matching(model, condition, ctx, "remove"), condition)
+            gone = marked.where(match).drop("__hit")
+            listed = model.triggers.get("remove")
+            gone = self._once(gone) if listed else gone  # triggers see the rows after the table has gone
+            n = gone.count()
+            if n and model.archive and f"{name}Deleted" in self.engine.registry:
+                shadow = self.engine.registry[f"{name}Deleted"]
+                old = self.engine.table(shadow.name)
+                fresh = gone.join(old.select("_id"), "_id", "left_anti").withColumn("deletedAt", F.lit(now).cast("double"))
+                self._store(shadow, old.unionByName(fresh, allowMissingColumns=True))
+            self._store(model, marked.where(~match).drop("__hit"))
+            out = Written(matched=n, deleted=n)
+            for r in gone.toLocalIterator() if listed else ():
+                d = r.asDict(recursive=True)
+                if len(out.docs) < DOCS:
+                    out.docs.append(d)
+                self._fire(model, "remove", {}, d, set(), now, out)
+            return out
 
-    @_alone
     def delete_many(self, name: str, condition: object, ctx: Context | dict | None = None) -> Written:
         """Matching rows go away, without an archive."""
         ctx = Context.of(ctx)
         if _blank(condition):
             raise ShapeError("a removal has a condition")
         model = self._model(name, ctx, "remove")
-        marked, match = self._mark(model, self._matching(model, condition, ctx, "remove"), condition)
-        n = marked.where(match).count()
-        self._store(model, marked.where(~match).drop("__hit"))
-        return Written(matched=n, deleted=n)
+        self._check_matching(model, condition, ctx, "remove")
+        with self._table(name):
+            marked, match = self._mark(model, self._matching(model, condition, ctx, "remove"), condition)
+            n = marked.where(match).count()
+            self._store(model, marked.where(~match).drop("__hit"))
+            return Written(matched=n, deleted=n)
 
     # several steps
 

@@ -97,6 +97,25 @@ class Plan:
         found = compile_condition(plain, scope, special, Compiler(scope).truth)
         return df if found is None else df.where(found).drop(*flags)
 
+    def check_where(self, model: Model, condition: object, depth: int = 0) -> None:
+        """What where refuses by the context, the profile and the condition's shape; it reads nothing, not even a table's columns."""
+        if condition in (None, {}):
+            return
+        check(condition)
+        if not isinstance(condition, dict):
+            raise ShapeError("a condition is an object")
+        if self.profile == "text2query":
+            self._check_text_shapes(model, condition)
+        for k, v in self._conjuncts(condition):
+            if k in ("$or", "$nor"):
+                for c in v:
+                    self.check_where(model, c, depth)
+            elif (p := self._predicate(model, k, v, depth)) is not None:
+                child = self.registry[p.relation.model]
+                self.policy.check_read(child, self.ctx)
+                self.policy.row_filter(child, self.ctx, child.struct())
+                self.check_where(child, p.condition, depth + 1)
+
     def _conjuncts(self, condition: dict) -> list[tuple[str, object]]:
         out = []
         for k, v in condition.items():
