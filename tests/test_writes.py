@@ -7,7 +7,7 @@ import pytest
 
 from treeq import inventory
 from treeq.engine import Engine
-from treeq.errors import Conflict, EngineError, PermissionDenied, ShapeError
+from treeq.errors import Conflict, EngineError, NoContext, PermissionDenied, ProfileBlocked, ShapeError
 from treeq.operators import writes
 from treeq.operators.writes import Writer
 from treeq.policy import Context, Policy
@@ -214,3 +214,39 @@ def test_policy_gates_need_no_lock(spark, tmp_path, monkeypatch) -> None:  # noq
     (tmp_path / "region.lock").touch()
     found = dict(tuple(r) for r in inventory.QUERIES["policy_gates"](spark, str(tmp_path)).collect())
     assert (found["deny write role"], found["write role"]) == ("PermissionDenied", "PermissionDenied")
+
+
+def test_claims_refused_before_the_lock(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(writes, "WAIT", 0.0)
+    (tmp_path / "posts.lock").touch()
+    source, note = Source("parquet", str(tmp_path)), {**NOTE, "read": ["boss"]}
+    text, e = Engine(spark, source, profile="text2query"), Engine(spark, source, Policy(deny_write_roles=("guest",)))
+    for x in (text, e):
+        x.register(POST, note, COVER)
+    t, w, clerk, guest = Writer(text), Writer(e), {"userId": "u"}, {"roles": ["guest"]}
+    for error, refused in (
+        (ProfileBlocked, lambda: t.claim("Post", {"_id": "1"}, {"title": "b"}, clerk)),
+        (ProfileBlocked, lambda: t.compare_and_set("Post", {"_id": "1"}, {"title": "a"}, {"title": "b"}, clerk)),
+        (ProfileBlocked, lambda: t.update("Post", {"meta.x": 1}, {"title": "b"}, clerk)),
+        (NoContext, lambda: t.update("Post", {"_id": "1"}, {"title": "b"})),
+        (PermissionDenied, lambda: w.claim("Post", {"_id": "1"}, {"title": "b"}, guest)),
+        (PermissionDenied, lambda: w.compare_and_set("Post", {"_id": "1"}, {"title": "a"}, {"title": "b"}, guest)),
+        (PermissionDenied, lambda: w.claim("Post", {"notes": {"body": "x"}}, {"title": "b"}, clerk)),
+        (PermissionDenied, lambda: w.claim("Post", {}, {"title": "b"}, clerk, sort={"notes.body": 1})),
+        (ShapeError, lambda: w.claim("Post", {}, {"title": "b"}, clerk, limit=0)),
+        (ShapeError, lambda: w.claim("Post", {}, {"title": "b"}, clerk, sort=5)),
+        (ShapeError, lambda: w.compare_and_set("Post", {"_id": "1"}, {}, {"title": "b"}, clerk)),
+        (Conflict, lambda: w.claim("Post", {}, {"title": "b"}, clerk, sort={"cover.url": 1})),
+        (Conflict, lambda: w.compare_and_set("Post", {"_id": "1"}, {"title": "a"}, {"title": "b"}, clerk)),
+    ):
+        with pytest.raises(error):
+            refused()
+    assert [p.name for p in tmp_path.iterdir()] == ["posts.lock"]
+
+
+def test_text_profile_needs_no_lock(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(writes, "WAIT", 0.0)
+    for t in ("region", "nation", "customer", "orders", "lineitem", "events"):
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    (tmp_path / "region.lock").touch()
+    assert dict(tuple(r) for r in inventory.QUERIES["text_profile"](spark, str(tmp_path)).collect())["claim"] == "ProfileBlocked"

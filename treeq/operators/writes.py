@@ -53,17 +53,6 @@ class Written:
     steps: list[str] = field(default_factory=list)
 
 
-def _alone(verb: Callable) -> Callable:
-    """A verb (writer, model's name, ...) that no other writer of the model runs beside."""
-
-    @functools.wraps(verb)
-    def run(self: Writer, name: str, *args: object, **named: object) -> Written:
-        with self._table(name):
-            return verb(self, name, *args, **named)
-
-    return run
-
-
 def _blank(condition: object) -> bool:
     return not condition or (isinstance(condition, dict) and all(k in ("$and", "$or", "$nor") and not v for k, v in condition.items()))
 
@@ -464,7 +453,6 @@ class Writer:
                     out.steps += self._steps(r.model, linked, ctx, ids).steps
         return out
 
-    @_alone
     def claim(self, name: str, condition: object, data: dict, ctx: Context | dict | None = None, *, sort: object = None, limit: int = 1) -> Written:
         """Takes the first rows of an order and marks them. One process at a time."""
         if self.engine.profile == "text2query":
@@ -472,21 +460,25 @@ class Writer:
         if not isinstance(limit, int) or limit < 1:
             raise ShapeError("a claim takes one row at least")
         ctx = Context.of(ctx)
-        model, now = self._model(name, ctx, "update"), self.now()
+        model = self._model(name, ctx, "update")
         spec = self._data(model, ctx, data)
+        self._check_matching(model, condition, ctx, "update")
         plan = self.engine._plan({}, ctx, None)
-        rows = self._matching(model, condition, ctx, "update")
-        rows, by = plan._sort_columns(rows, model, plan._order(sort) or [("_id", 1)])
-        ids = [r["_id"] for r in rows.orderBy(*by).limit(limit).select("_id").collect()]
-        if not ids:
-            return Written()
-        table, key = self.engine.table(name), F.col("_id").isin(ids)
-        new = self.updated(table, model, key, spec, now)
-        docs = {d["_id"]: d.asDict(recursive=True) for d in new.where(key).collect()}
-        self._store(model, new)
-        return Written(len(ids), len(ids), docs=[docs[i] for i in ids])
+        order = plan._order(sort) or [("_id", 1)]
+        plan.check_order(model, order)
+        with self._table(name):
+            now = self.now()
+            rows = self._matching(model, condition, ctx, "update")
+            rows, by = plan._sort_columns(rows, model, order)
+            ids = [r["_id"] for r in rows.orderBy(*by).limit(limit).select("_id").collect()]
+            if not ids:
+                return Written()
+            table, key = self.engine.table(name), F.col("_id").isin(ids)
+            new = self.updated(table, model, key, spec, now)
+            docs = {d["_id"]: d.asDict(recursive=True) for d in new.where(key).collect()}
+            self._store(model, new)
+            return Written(len(ids), len(ids), docs=[docs[i] for i in ids])
 
-    @_alone
     def compare_and_set(self, name: str, condition: object, expected: dict, data: dict, ctx: Context | dict | None = None) -> Written:
         """Updates the rows of a condition only if their fields are still as expected."""
         if self.engine.profile == "text2query":

@@ -248,6 +248,14 @@ class Plan:
             raise ShapeError("$sort is an object or a list of pairs")
         return [(k, -1 if d < 0 else 1) for k, d in pairs]
 
+    def check_order(self, model: Model, order: list[tuple[str, int]]) -> None:
+        """The relations of an order that the context may not read; it reads nothing."""
+        for head in (path.partition(".")[0] for path, _ in order):
+            if head in model.relations and head not in model.fields:
+                _, child = self.relation(model, head)
+                self.policy.check_read(child, self.ctx)
+                self.policy.row_filter(child, self.ctx, child.struct())
+
     @staticmethod
     def _direction(col: Column, d: int) -> Column:
         return col.desc_nulls_last() if d < 0 else col.asc_nulls_first()
