@@ -20,6 +20,7 @@ from treeq.functions.expr import Compiler
 from treeq.functions.predicate import Scope, check, compile_condition
 from treeq.operators import computes as C
 from treeq.operators import group as G
+from treeq.operators import pages as P
 from treeq.operators import relations as R
 from treeq.operators import semijoin as S
 from treeq.operators.relations import DOC, ID, KEY
@@ -206,16 +207,12 @@ class Plan:
         paged = skip or limit is not None
         if paged and near is None:
             by = by or [F.asc("_id")]
-            df = self._page(df.orderBy(*by), skip, limit)
+            places = [(F.col(f"__sort{i}"), d) for i, (_, d) in enumerate(order)]
+            df = P.page(df, places if len(by) == len(places) else [*places, (F.col("_id"), 1)], skip, limit, once=adds(condition))
         bound = near.limit if near is not None else limit
         out = self.shape(df, model, node, few=bound is not None and bound <= FEW, some=bool(names(condition)))
         return self._final(out, model, node, by)
 
-    @staticmethod
-    def _page(df: DataFrame, skip: int, limit: int | None) -> DataFrame:
-        df = df.offset(skip) if skip else df
-        return df if limit is None else df.limit(limit)
-
     def _check_depth(self, node: Node) -> None:
         most = TEXT_DEPTH if self.profile == "text2query" else MAX_DEPTH
         for depth, n in node.walk():
@@ -442,10 +439,11 @@ class Plan:
         made = df.groupBy(*(F.col(f"__g{i}").alias(flat[n]) for i, n in enumerate(by))).agg(*([self._accumulate(model, a, s).alias(flat[a]) for a, s in agg.items()] or [F.count(F.lit(1)).alias("__n")]))
         if having is not None:
             made = made.where(compile_condition(_renamed(having, flat), Scope(made.schema)))
-        columns = [self._direction(F.col(flat[k]), d) for k, d in order]
-        ties = [F.asc_nulls_first(flat[n]) for n in by if n not in {k for k, _ in order}]
-        if columns or skip or limit is not None:
-            made = self._page(made.orderBy(*columns, *ties), skip, limit)
+        places = [(F.col(flat[k]), d) for k, d in order]
+        places += [(F.col(flat[n]), 1) for n in by if n not in {k for k, _ in order}]
+        if order or skip or limit is not None:
+            added = {a for a, s in agg.items() if {"$sum", "$avg"} & s.keys() and isinstance(made.schema[flat[a]].dataType, (T.DoubleType, T.FloatType))}
+            made = P.page(made, places, skip, limit, once=bool(added & {k for k, _ in order} or added & set(names(having))))
         return made.select(*_rebuilt([f for f in dict.fromkeys(node.fields) if f in known], flat))
 
     def _accumulate(self, model: Model, alias: str, spec: dict) -> Column:
@@ -460,6 +458,13 @@ def names(condition: object) -> list[str]:
     return [n for c in condition for n in names(c)] if isinstance(condition, list) else []
 
 
+def adds(condition: object) -> bool:
+    """Whether a condition holds sums or means: doubles differ in their last bits with the order of additions, and so may the rows."""
+    if isinstance(condition, dict):
+        return bool({"$sum", "$avg"} & condition.keys()) or any(map(adds, condition.values()))
+    return isinstance(condition, list) and any(map(adds, condition))
+
+
 def _renamed(spec: dict, flat: dict[str, str]) -> dict:
     return {flat.get(k, k): [_renamed(x, flat) for x in v] if k in ("$and", "$or", "$nor") else v for k, v in spec.items()}
 

@@ -14,10 +14,13 @@ from pyspark.sql import types as T
 from treeq.errors import ShapeError
 from treeq.functions.expr import Compiler
 from treeq.functions.predicate import Scope, compile_condition
+from treeq.operators import pages
 from treeq.operators.group import aggregate
 from treeq.schema import AGGREGATES
 
 FORBIDDEN = ("$out", "$merge")
+#: Stages whose rows are made of one row each, and so are the same when they are made again.
+SINGLE = ("$match", "$project", "$addFields", "$set", "$replaceRoot", "$unwind", "$sort")
 #: Rows of one branch of $facet, and of a $lookup list that all documents share.
 LIST_ROWS = 100_000
 #: In the stages of a $lookup: columns with the values of the outer documents that a row belongs to, and its place among their rows.
@@ -25,8 +28,19 @@ OUTER, PLACE = "__outer", "__place"
 Tables = Callable[[str], DataFrame]
 
 
-def run(df: DataFrame, stages: list[dict], tables: Tables, variables: dict[str, tuple[str, T.DataType]] | None = None) -> DataFrame:
-    return functools.reduce(lambda d, s: apply(d, s, tables, variables or {}), stages, df)
+def run(df: DataFrame, stages: list[dict], tables: Tables, variables: dict[str, tuple[str, T.DataType]] | None = None, *, once: bool = False) -> DataFrame:
+    """once: df may have other rows when it is read again."""
+    rest = list(stages)
+    while rest:
+        names = [next(iter(s)) if isinstance(s, dict) and len(s) == 1 else None for s in rest[:3]]
+        if names[:2] == ["$sort", "$skip"] and not outer(df):
+            taken = 3 if names[2:] == ["$limit"] else 2
+            df = pages.page(df, _order(df, rest[0]["$sort"]), _count(rest[1]["$skip"], "$skip"), _count(rest[2]["$limit"], "$limit") if taken == 3 else None, once=once)
+        else:
+            taken, df = 1, apply(df, rest[0], tables, variables or {})
+        once = once or not set(names[:taken]) <= set(SINGLE)
+        rest = rest[taken:]
+    return df
 
 
 def apply(df: DataFrame, stage: dict, tables: Tables, variables: dict) -> DataFrame:
@@ -67,19 +81,24 @@ def match(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataF
     return df if found is None else df.where(found)
 
 
-def sort(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
+def _order(df: DataFrame, spec: object) -> pages.Order:
     pairs = list(spec.items()) if isinstance(spec, dict) else spec
     if not pairs or not isinstance(pairs, list):
         raise ShapeError("$sort names a field")
-    by: list[Column] = []
+    order: pages.Order = []
     for path, d in pairs:
         col, kind, below = Scope(df.schema).resolve(path)
         if below:
             raise ShapeError(f"nothing sorts by {path}")
         col = F.array_min(col) if isinstance(kind, T.ArrayType) else col
-        by.append(col.desc_nulls_last() if d < 0 else col.asc_nulls_first())
+        order.append((col, d))
     if "_id" in df.columns and all(p != "_id" for p, _ in pairs) and not isinstance(df.schema["_id"].dataType, (T.MapType, T.VariantType)):
-        by.append(F.asc("_id"))
+        order.append((F.col("_id"), 1))
+    return order
+
+
+def sort(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataFrame:
+    by = pages.directed(_order(df, spec))
     if of := outer(df):
         return df.withColumn(PLACE, F.row_number().over(Window.partitionBy(*of).orderBy(*by)))
     return df.orderBy(*by)
@@ -255,7 +274,7 @@ def facet(df: DataFrame, spec: object, tables: Tables, variables: dict) -> DataF
     for name, stages in spec.items():
         if any("$facet" in s for s in stages):
             raise ShapeError("$facet doesn't nest")
-        one = _listed(run(df, stages, tables, variables), name)
+        one = _listed(run(df, stages, tables, variables, once=True), name)
         out = one if out is None else out.join(F.broadcast(one), how="cross")  # one row each
     return out
 
