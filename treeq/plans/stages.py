@@ -35,7 +35,8 @@ def run(df: DataFrame, stages: list[dict], tables: Tables, variables: dict[str,
         names = [next(iter(s)) if isinstance(s, dict) and len(s) == 1 else None for s in rest[:3]]
         if names[:2] == ["$sort", "$skip"] and not outer(df):
             taken = 3 if names[2:] == ["$limit"] else 2
-            df = pages.page(df, _order(df, rest[0]["$sort"]), _count(rest[1]["$skip"], "$skip"), _count(rest[2]["$limit"], "$limit") if taken == 3 else None, once=once)
+            most = _count(rest[2]["$limit"], "$limit") if taken == 3 else None
+            df = pages.page(df, _order(df, rest[0]["$sort"]), _count(rest[1]["$skip"], "$skip"), most, once=once, shared="_id" not in df.columns)
         else:
             taken, df = 1, apply(df, rest[0], tables, variables or {})
         once = once or not set(names[:taken]) <= set(SINGLE)
